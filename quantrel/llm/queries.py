@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, simhash
+from . import decontamination, pii, quality_rules, sharding, simhash, toxicity, url_filters, warc
 
-QUERIES = {f.__name__: f for f in (decontamination.op4_winnowing_decontamination, quality_rules.op9_quality_rules, simhash.op10_simhash_pivots)}
-ORACLES = {"op4_winnowing_decontamination": decontamination.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        toxicity.op2_ordinal_toxicity, url_filters.op3_url_language_ratio, decontamination.op4_winnowing_decontamination, pii.op5_chain_field_pii,
+        warc.op7_seekable_warc, sharding.op8_weighted_hash_tree, quality_rules.op9_quality_rules, simhash.op10_simhash_pivots,
+    )
+}
+ORACLES = {"op4_winnowing_decontamination": decontamination.ORACLE, "op7_seekable_warc": warc.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
