@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays."""
-    return F.translate(text, UPPER, LOWER)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def split_words(text: Column, separators: str = SPACES) -> Column:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, forget, let, materialise, new_path, reserve, split_words, table, upto
+from .common import forget, let, materialise, new_path, reserve, split_words, table, upto
 
 #: Rows of the sample on which cost and selectivity are estimated (it steers the order only).
 SAMPLE_ROWS = 2000
@@ -27,15 +27,16 @@ SYMBOLS = "#*$%&|<>"
 
 
 def count_chars(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    """Characters of `text` that are in the class `chars`."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, " \t\n\x0b\x0c\r", ""))
+def word_chars(words: Column) -> Column:
+    return F.length(F.array_join(words, ""))
 
 
 def lines_with_words(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def dup_lines(text: Column) -> Column:
@@ -61,27 +62,44 @@ def repeat_words(words: Column) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(repeated(h)))
 
 
+class Features:
+    """What rules look at, as expressions over a text and its words; `known` has those that are columns already."""
+
+    def __init__(self, text: Column, words: Column, **known: Column):
+        self.text, self.words, self.known = text, words, known
+
+    def __getattr__(self, name: str) -> Column:
+        made = {
+            "n_words": lambda: F.size(self.words), "word_chars": lambda: word_chars(self.words), "n_symbols": lambda: count_chars(self.text, SYMBOLS),
+            "n_dup_lines": lambda: dup_lines(self.text), "n_lines": lambda: F.size(lines_with_words(self.text)), "n_repeat_words": lambda: repeat_words(self.words),
+            "n_upper": lambda: count_chars(self.text, "A-Z"), "n_letters": lambda: F.length(F.regexp_replace(self.text, r"[^\p{L}]+", "")), "n_distinct": lambda: F.size(F.array_distinct(self.words)),
+        }
+        if name not in made:
+            raise AttributeError(name)
+        return self.known[name] if name in self.known else made[name]()
+
+
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a row where `rejects(text, words)` holds; both are never null."""
+    """Rejects a row where `rejects(features)` holds, which is never null."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Features], Column]
 
 
 #: The base rules come with the contract of the query; the others are this cascade's own. Bounds are whole
 #: numbers, wide enough for prose in any of the usual scripts, so ordinary documents stay.
 BASE = (
-    Rule("few_words", lambda t, w: F.size(w) < MIN_WORDS),
-    Rule("repeated_windows", lambda t, w: 100 * repeat_words(w) > REPEAT_PERCENT * F.size(w)),
+    Rule("few_words", lambda f: f.n_words < MIN_WORDS),
+    Rule("repeated_windows", lambda f: 100 * f.n_repeat_words > REPEAT_PERCENT * f.n_words),
 )
 CASCADE = (
-    Rule("symbols", lambda t, w: 10 * count_chars(t, SYMBOLS) > F.size(w)),
-    Rule("shouting", lambda t, w: 10 * count_chars(t, UPPER) > 4 * word_chars(t)),
-    Rule("word_length", lambda t, w: (word_chars(t) < 2 * F.size(w)) | (word_chars(t) > 20 * F.size(w))),
-    Rule("duplicate_lines", lambda t, w: 10 * dup_lines(t) > 3 * F.size(lines_with_words(t))),
-    Rule("few_letters", lambda t, w: 2 * F.length(F.regexp_replace(t, r"[^\p{L}]+", "")) < word_chars(t)),
-    Rule("low_variety", lambda t, w: 100 * F.size(F.array_distinct(w)) < 3 * F.size(w)),
+    Rule("symbols", lambda f: 10 * f.n_symbols > f.n_words),
+    Rule("shouting", lambda f: 10 * f.n_upper > 4 * f.word_chars),
+    Rule("word_length", lambda f: (f.word_chars < 2 * f.n_words) | (f.word_chars > 20 * f.n_words)),
+    Rule("duplicate_lines", lambda f: 10 * f.n_dup_lines > 3 * f.n_lines),
+    Rule("few_letters", lambda f: 2 * f.n_letters < f.word_chars),
+    Rule("low_variety", lambda f: 100 * f.n_distinct < 3 * f.n_words),
 )
 
 
@@ -98,11 +116,11 @@ def plan(df: DataFrame, text: str, rules: tuple[Rule, ...], sample_rows: int = S
     path = new_path(spark, "quality-sample")
     drawn = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).sample(share, 11)
     sample = materialise(drawn.select("t", split_words(F.col("t")).alias("w")), "quality-sample", path)
-    found = []
+    features, found = Features(F.col("t"), F.col("w")), []
     sample.agg(F.count("t"), F.sum(F.size("w"))).first()
     for r in rules:
         began = time.perf_counter()
-        share_out = sample.agg(F.avg(r.rejects(F.col("t"), F.col("w")).cast("double"))).first()[0] or 0.0
+        share_out = sample.agg(F.avg(r.rejects(features).cast("double"))).first()[0] or 0.0
         found.append({"rule": r, "cost": time.perf_counter() - began, "rejection": share_out})
     forget(spark, path)
     return sorted(found, key=lambda x: -x["rejection"] / max(x["cost"], 1e-9))
@@ -110,13 +128,14 @@ def plan(df: DataFrame, text: str, rules: tuple[Rule, ...], sample_rows: int = S
 
 def with_verdict(df: DataFrame, rules: list[Rule], text: str = "text", rejected_by: str = "rejected_by") -> DataFrame:
     """Adds `rejected_by`: the first rule of the cascade that rejects the row, null where none does."""
-    n = reserve(df, "t", "w")
+    n = reserve(df, "t", "w", "chars")
     t, w = F.col(n["t"]), F.col(n["w"])
-    case = F
+    case, features = F, Features(t, w, word_chars=F.col(n["chars"]))
     for r in rules:
-        case = case.when(r.rejects(t, w), F.lit(r.name))
+        case = case.when(r.rejects(features), F.lit(r.name))
     verdict = case if rules else F.lit(None).cast("string")
-    return df.withColumn(n["t"], F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(n["w"], split_words(t)).withColumn(rejected_by, verdict).drop(n["t"], n["w"])
+    rows = df.withColumn(n["t"], F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(n["w"], split_words(t)).withColumn(n["chars"], word_chars(w))
+    return rows.withColumn(rejected_by, verdict).drop(*n.values())
 
 
 def filter_documents(df: DataFrame, text: str = "text") -> DataFrame:
@@ -130,17 +149,16 @@ def report(df: DataFrame, text: str = "text") -> DataFrame:
     """doc_id with the counts, the base verdict and the cascade's verdict, a row for each row of df."""
     rules = [x["rule"] for x in plan(df, text, CASCADE)]
     rows = df.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("w", split_words(F.col("t")))
-    t, w = F.col("t"), F.col("w")
-    rows = rows.select(
-        "doc_id", "t", "w", F.size(w).cast("long").alias("n_words"), word_chars(t).cast("long").alias("word_chars"), count_chars(t, SYMBOLS).cast("long").alias("n_symbols"),
-        dup_lines(t).cast("long").alias("n_dup_lines"), repeat_words(w).cast("long").alias("n_repeat_words"),
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    own = Features(F.col("t"), F.col("w"))
+    rows = rows.select("doc_id", "t", "w", *(getattr(own, c).cast("long").alias(c) for c in counts))
+    known = Features(F.col("t"), F.col("w"), **{c: F.col(c) for c in counts})
     case = F.when(F.col("base_failed"), F.lit("base"))
     for r in rules:
-        case = case.when(r.rejects(t, w), F.lit(r.name))
+        case = case.when(r.rejects(known), F.lit(r.name))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumn("rejected_by", case)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
+    return rows.select("doc_id", *counts, "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
