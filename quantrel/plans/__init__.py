@@ -1,4 +1,6 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import metrics, statistics
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "metrics", "statistics"]
