@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import metrics, statistics
+from . import metrics, models, statistics
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "metrics", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "metrics", "models", "statistics"]
