@@ -159,20 +159,22 @@ def kernel(a: Column, b: Column, kind: str = "rbf", gamma: float = 1.0, degree:
     raise ValueError(kind)
 
 
+def let(value: Column, body) -> Column:
+    """Bind a value once, however often a lambda uses it: a lambda would compute it again for each element."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def logsumexp(a: Column) -> Column:
-    top = F.array_max(a)
-    return top + F.ln(array_sum(F.transform(a, lambda x: F.exp(x - top))))
+    return let(F.array_max(a), lambda top: top + F.ln(array_sum(F.transform(a, lambda x: F.exp(x - top)))))
 
 
 def softmax(a: Column) -> Column:
-    z = logsumexp(a)
-    return F.transform(a, lambda x: F.exp(x - z))
+    return let(logsumexp(a), lambda z: F.transform(a, lambda x: F.exp(x - z)))
 
 
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
-    mean = array_sum(a) / F.size(a)
-    var = array_sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / F.size(a)
-    return F.transform(a, lambda x: (x - mean) / F.sqrt(var + eps))
+    spread = lambda mean: F.sqrt(array_sum(F.transform(a, lambda x: (x - mean) * (x - mean))) / F.size(a) + eps)
+    return let(array_sum(a) / F.size(a), lambda mean: let(spread(mean), lambda s: F.transform(a, lambda x: (x - mean) / s)))
 
 
 def rope(a: Column, position: Column, base: float = 10000.0) -> Column:
@@ -194,8 +196,7 @@ def positional_encoding(position: Column, d: int) -> Column:
 def quantize_block(a: Column, bits: int) -> Column:
     """Symmetric absmax quantise and dequantise, halves to even; an all-zero block stays."""
     top = float((1 << bits - 1) - 1)
-    scale = F.array_max(F.transform(a, F.abs)) / top
-    return F.transform(a, lambda x: F.when(scale > 0, F.rint(x / scale) * scale).otherwise(0.0))
+    return let(F.array_max(F.transform(a, F.abs)) / top, lambda scale: F.transform(a, lambda x: F.when(scale > 0, F.rint(x / scale) * scale).otherwise(0.0)))
 
 
 # --- densities and mass functions

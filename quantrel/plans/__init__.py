@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import metrics, models, statistics
+from . import metrics, models, statistics, vectors
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "metrics", "models", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "metrics", "models", "statistics", "vectors"]
