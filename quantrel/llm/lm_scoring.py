@@ -2,8 +2,8 @@ r"""Operator 6: stupid-backoff language-model scores, computed relationally.
 
 Counts come from the whole corpus, and a document is scored by those of the others: its own counts are taken off, so that
 no text vouches for itself. With c' for such counts and N' for the other documents' words, a word w after v scores
-c'(v w) / c'(v) where c'(v w) > 0, else ALPHA * max(1, c'(w)) / N'. Words are `[^\x20\x09-\x0D]+`; the VOCABULARY most frequent
-(ties by the word) have a count of their own, all others count as unseen, and so do pairs with them.
+c'(v w) / c'(v) where c'(v w) > 0, else ALPHA * max(1, c'(w)) / N'. Words are `[^\x20\x09-\x0D]+`; the most frequent, at most
+VOCABULARY, have a count of their own (words of equal count are in or out together), all others count as unseen, and so do pairs with them.
 
 The plan: words are counted with partial aggregates; the vocabulary, whose size is fixed, goes to every task; each document's
 distinct pairs with their counts are written once; the pair counts are one table and the exploded pairs another, both hashed by
@@ -30,14 +30,23 @@ from .common import materialise, split_words, table
 
 #: Ids take 16 bits, so that a pair is one int; 0 stands for words outside.
 VOCABULARY, ALPHA = 16_384, 0.4
+#: Characters of text whose pairs are handed over together.
+BATCH_CHARS = 2_000_000
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def vocabulary(docs: DataFrame, text: str, size: int = VOCABULARY) -> tuple[list[tuple[str, int]], int]:
-    """The most frequent words with their counts, and the number of all words."""
+    """The words that occur at least as often as the smallest count that at most `size` words reach, with their counts, and the number of
+    all words. The driver sees how many words have each count (at most about sqrt(2 * words) rows) and the vocabulary."""
     counts = materialise(docs.select(F.explode(split_words(F.col(text).cast("string"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "lm-words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [(r["w"], r["n"]) for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()], total
+    total = reached = 0
+    cut = None
+    for n, words in sorted(counts.groupBy("n").count().collect(), reverse=True):
+        total, reached = total + n * words, reached + words
+        cut = n if reached <= size else cut
+    if cut is None:
+        return [], total
+    return sorted(((r["w"], r["n"]) for r in counts.where(F.col("n") >= cut).collect()), key=lambda x: (-x[1], x[0])), total
 
 
 def document_pairs(docs: DataFrame, text: str, words: list[tuple[str, int]]) -> DataFrame:
@@ -48,10 +57,15 @@ def document_pairs(docs: DataFrame, text: str, words: list[tuple[str, int]]) ->
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = {w: i for w, (i, _) in shared.value.items()}
         counts = np.array([0, *(n for _, n in shared.value.values())], np.int64)
+        columns = ["row", "doc_id", "n_words", "backed", "base", "pair", "n", "nv", "nw"]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out = []
+            out, chars = [], 0
             for doc, t in zip(batch["doc_id"], batch["t"], strict=True):
+                if chars > BATCH_CHARS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, chars = [], 0
+                chars += len(t) if isinstance(t, str) else 0
                 words = [w for w in SPLIT.split(t if isinstance(t, str) else "") if w]
                 seq = np.array([ids.get(w, 0) for w in words], np.int64)
                 known, own = np.unique(seq[seq > 0], return_counts=True)
@@ -64,7 +78,7 @@ def document_pairs(docs: DataFrame, text: str, words: list[tuple[str, int]]) ->
                 v, w = own[np.searchsorted(known, key >> 16)] if len(key) else n, own[np.searchsorted(known, key & 0xFFFF)] if len(key) else n
                 out.append((row, doc, len(words), len(alone), float(times @ np.log(rest)) if len(lone) else 0.0, key.astype(np.uint32).view(np.int32), n.astype(np.int32), v.astype(np.int32), w.astype(np.int32)))
                 row += 1
-            yield pd.DataFrame(out, columns=["row", "doc_id", "n_words", "backed", "base", "pair", "n", "nv", "nw"])
+            yield pd.DataFrame(out, columns=columns)
 
     rows = docs.select("doc_id", F.col(text).cast("string").alias("t"))
     return materialise(rows.mapInPandas(pairs, f"row long, doc_id {kind}, n_words long, backed long, base double, pair array<int>, n array<int>, nv array<int>, nw array<int>"), "lm-pairs")
@@ -99,7 +113,9 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_
 tok AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS p, ws FROM d),
 t AS (SELECT rid, p, ws[p] AS w FROM tok),
 total AS (SELECT count(*) AS n FROM t),
-vocab AS (SELECT w, count(*) AS c FROM t GROUP BY w ORDER BY c DESC, w LIMIT 16384),
+wc AS (SELECT w, count(*) AS c FROM t GROUP BY w),
+cut AS (SELECT min(c) AS c FROM (SELECT c, sum(count(*)) OVER (ORDER BY c DESC) AS reached FROM wc GROUP BY c) WHERE reached <= 16384),
+vocab AS (SELECT w, wc.c AS c FROM wc, cut WHERE wc.c >= cut.c),
 k AS (SELECT t.rid, p, vocab.w AS w, c FROM t LEFT JOIN vocab ON t.w = vocab.w),
 own AS (SELECT rid, w, count(*) AS n FROM k WHERE w IS NOT NULL GROUP BY ALL),
 b AS (SELECT rid, p, w, c, lag(w) OVER (PARTITION BY rid ORDER BY p) AS v, lag(c) OVER (PARTITION BY rid ORDER BY p) AS cv FROM k),
