@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import metrics, models, statistics, vectors
+from . import metrics, models, statistics, texts, vectors, worlds
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "metrics", "models", "statistics", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "metrics", "models", "statistics", "texts", "vectors", "worlds"]
