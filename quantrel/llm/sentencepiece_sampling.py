@@ -11,7 +11,7 @@ Bounds are pruned exactly: a uniform draw has 53 bits, so a bound is at most log
 too low to enter the K + 1 best are not drawn. The next bound after the K-th draw is the threshold of the
 sample, and a path's inclusion score is P(its perturbed value exceeds that threshold) = 1 - exp(-exp(log_prob - threshold)).
 
-No piece runs over a space that follows other characters, nor over a line feed, so the lattice falls into chunks, whose lattices are kept
+Where no piece holds two neighbouring characters the lattice falls apart into chunks, whose lattices are kept
 for as long as they fit. All chunks of a batch walk together in numpy. Random numbers hash (row key, walk, chunk, step): a row's draws
 depend on its key and text alone, not on batches or partitions.
 
@@ -28,6 +28,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,10 +45,12 @@ MARK, BYTES_AT = "▁", 3
 PER_CHAR = math.exp(3.0)
 LARGEST = 53 * math.log(2) + 0.01
 #: States of kept chunks, and rows and characters that walk together.
-KEPT_STATES, BATCH_ROWS, BATCH_CHARS = 2_000_000, 300, 1_000_000
+KEPT_STATES, BATCH_ROWS, BATCH_CHARS = 1_500_000, 300, 1_000_000
+#: Steps of a walk whose sets get bounds in full, and that are looked at, at once; further ones only where pruning asks for them.
+NEAR, SPAN = 64, 448
+ALL_BITS = (1 << 64) - 1
 #: Code points of Unicode's private use, never pieces: they stand for the bytes of what has no piece.
 PRIVATE = 0xF0000
-CHUNK = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,6 +61,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mix_one(x: int) -> int:
+    """mix() of one number."""
+    x = (x + 0x9E3779B97F4A7C15) & ALL_BITS
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & ALL_BITS
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & ALL_BITS
+    return x ^ x >> 31
+
+
+def uniform_one(x: int) -> float:
+    return ((mix_one(x) >> 11) + 0.5) * 2.0**-53
+
+
 def uniform(x: np.ndarray) -> np.ndarray:
     """In (0, 1), 53 bits."""
     return ((mix(x) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
@@ -110,50 +125,112 @@ class Trie:
 class Lattices:
     """Chunk lattices over a piece inventory, kept in flat arrays.
 
-    State s has edges first[s] .. first[s] + width[s] - 1, longest first; an edge has its state, its piece, the state that it leads
-    to (-1: the end), its probability given the state, and the running sum of those.
+    A chunk ends wherever no piece holds its last character next to the one that follows, so a text's lattice is the row of its chunks'
+    lattices. A chunk has a state for each of its characters. State s has edges first[s] .. first[s] + width[s] - 1, longest first; an edge has
+    its state, its piece, the state that it leads to (-1: the end), its probability given the state, and the running sum of those.
+    Chunks are found by a hash of their characters, and what is found is compared with them.
     """
 
-    KINDS = {"first": np.int64, "width": np.int32, "source": np.int64, "piece": np.int32, "to": np.int64, "p": np.float64, "cum": np.float64}
+    KINDS = {"char": np.uint32, "size": np.int32, "first": np.int32, "width": np.int16, "again": bool, "source": np.int32, "piece": np.int32, "to": np.int32, "p": np.float64, "cum": np.float64}
+    BY_STATE = ("char", "size", "first", "width", "again")
 
     def __init__(self, pieces: list[str], zipf: float = ZIPF, sharpness: float = SHARPNESS):
         self.names = pieces
         start = BYTES_AT + 256
         ids = {p: i for i, p in enumerate(pieces) if i >= start}
-        for p in ids:
-            if "\n" in p or MARK in p.lstrip(MARK):
-                raise ValueError(f"piece {p!r} runs over a chunk's border")
         self.weight = np.array([(1 / (max(0, i - start) + zipf)) ** sharpness * PER_CHAR ** (1 if i < start else len(p)) for i, p in enumerate(pieces)])
         self.trie = Trie(ids)
         # characters of single pieces and of the space mark stay; all else becomes bytes
         self.rare = re.compile("[^" + "".join(re.escape(p) for p in sorted(ids) if len(p) == 1 and p != MARK) + " ]")
+        chars = sorted({ord(c) for p in ids if len(p) > 1 for c in p if ord(c) < 0xFFFF})
+        self.kind = np.zeros(0x10000, np.int16)
+        self.kind[chars] = np.arange(1, len(chars) + 1)
+        self.joins = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for p in ids:
+            for x, y in zip(p, p[1:], strict=False):
+                self.joins[self.kind[min(ord(x), 0xFFFF)], self.kind[min(ord(y), 0xFFFF)]] = True
+        self.power = np.empty(0, np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.states = self.links = 0
-        self.kept = {k: np.empty(1024, kind) for k, kind in self.KINDS.items()}
+        self.states = self.links = self.chunks = 0
+        self.kept = {k: np.zeros(1024, kind) for k, kind in self.KINDS.items()}
+        self.bits = 16
+        self.keys, self.starts = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
 
     def put(self, **values: np.ndarray) -> None:
         """Append to the kept arrays, which double as needed."""
         for k, new in values.items():
-            done = self.states if k in ("first", "width") else self.links
+            done = self.states if k in self.BY_STATE else self.links
             if done + len(new) > len(self.kept[k]):
-                self.kept[k] = np.concatenate([self.kept[k], np.empty(done + 2 * len(new), self.KINDS[k])])
+                self.kept[k] = np.concatenate([self.kept[k], np.zeros(done + 2 * len(new), self.KINDS[k])])
             self.kept[k][done : done + len(new)] = new
         self.states += len(values["first"])
         self.links += len(values["p"])
 
-    def chunks(self, text: str) -> list[str]:
+    def prepare(self, text: str) -> str:
+        """The text as the lattice sees it: space marks, one of them ahead, and bytes for what has no piece."""
         if not text:
-            return []
-        text = self.rare.sub(lambda m: "\n" if m[0] == "\n" else "".join(chr(PRIVATE + b) for b in m[0].encode()), text)
-        return CHUNK.findall(MARK + text.replace(" ", MARK))
-
-    def build(self, chunks: list[str]) -> None:
-        """Find the edges of all chunks in one walk through the trie, then their masses from the ends backwards."""
-        chars = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
-        lengths = np.array([len(c) for c in chunks])
+            return ""
+        return MARK + self.rare.sub(lambda m: "".join(chr(PRIVATE + b) for b in m[0].encode()), text).replace(" ", MARK)
+
+    def cut(self, chars: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+        """Where the chunks start."""
+        kind = self.kind[np.minimum(chars, 0xFFFF)]
+        apart = np.ones(len(chars), bool)
+        apart[1:] = ~self.joins[kind[:-1], kind[1:]]
+        apart[text_starts] = True
+        return np.flatnonzero(apart)
+
+    def hashes(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Never 0. Sums of character times power of place, shifted to the chunk's start."""
+        if len(self.power) < len(chars):
+            base = 0x9E3779B97F4A7C15
+            self.power = np.cumprod(np.full(len(chars) + 1024, base, np.uint64))
+            self.inverse = np.cumprod(np.full(len(chars) + 1024, pow(base, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(chars.astype(np.uint64)) * self.power[: len(chars)])])
+        return mix((sums[starts + sizes] - sums[starts]) * self.inverse[starts] + sizes.astype(np.uint64)) | np.uint64(1)
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """First states of the chunks with these hashes, -1 where there is none."""
+        at, last = self.slot(h), len(self.keys) - 1
+        got = self.keys[at]
+        other = np.flatnonzero((got != h) & (got != 0))
+        while len(other):
+            at[other] = (at[other] + 1) & last
+            got[other] = self.keys[at[other]]
+            other = other[(got[other] != h[other]) & (got[other] != 0)]
+        return np.where(got == h, self.starts[at].astype(np.int64), -1)
+
+    def insert(self, h: np.ndarray, starts: np.ndarray) -> None:
+        """New, distinct hashes."""
+        self.chunks += len(h)
+        if 2 * self.chunks > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            keys, values = self.keys[old], self.starts[old]
+            self.bits = (4 * self.chunks).bit_length()
+            self.keys, self.starts = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            h, starts = np.concatenate([keys, h]), np.concatenate([values, starts])
+        at, last = self.slot(h), len(self.keys) - 1
+        left = np.arange(len(h))
+        while len(left):
+            free = self.keys[at[left]] == 0
+            self.keys[at[left[free]]] = h[left[free]]
+            won = self.keys[at[left]] == h[left]
+            self.starts[at[left[won]]] = starts[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & last
+
+    @staticmethod
+    def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """start, start + 1, .. of each run, one after the other."""
+        return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+    def build(self, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Find the edges of all chunks in one walk through the trie, then their masses from the ends backwards. First states."""
         ends = np.cumsum(lengths)
         end = np.repeat(ends, lengths)
         at, node, size = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
@@ -170,18 +247,29 @@ class Lattices:
         for own, _, _ in found:
             bare[own] = False
         own = np.flatnonzero(bare)
-        found.append((own, np.ones(len(own), np.int64), np.where(chars[own] == 10, BYTES_AT + 10, BYTES_AT + (chars[own].astype(np.int64) - PRIVATE))))
+        found.append((own, np.ones(len(own), np.int64), BYTES_AT + (chars[own].astype(np.int64) - PRIVATE)))
+        levels = [own[::-1] for own, _, _ in found]
         source, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        # by distance of the state from its chunk's end, then by state, then longest first
-        far = end[source] - source
-        order = np.lexsort((-size, source, far)) if far.max() >= 1 << 20 else np.argsort(far << 43 | source << 8 | (255 - size), kind="stable")
-        source, size, piece, far = source[order], size[order], piece[order].astype(np.int64), far[order]
-        target = source + size
+        # longest first (they were found by rising size), then by state, then by the state's distance from its chunk's end
+        source, size, piece = source[::-1], size[::-1], piece[::-1]
+        width = np.bincount(source, minlength=len(chars))
+        far = end - np.arange(len(chars))
+        by_far = np.argsort(far.astype(np.int16) if far.max() < 1 << 15 else far, kind="stable")
+        place = np.empty(len(chars), np.int64)
+        place[by_far] = np.cumsum(width[by_far]) - width[by_far]
+        order, done = np.empty(len(source), np.int64), 0
+        for own in levels[::-1]:
+            at = place[own]
+            order[at] = np.arange(done, done + len(own))
+            place[own] = at + 1
+            done += len(own)
+        source, size, piece = source[order], size[order], piece[order].astype(np.int64)
+        distance, target = far[source], source + size
         new = np.flatnonzero(np.diff(source, prepend=-1))
         width = np.diff(np.append(new, len(source)))
         p, mass, scale = self.weight[piece], np.ones(len(chars) + 1), np.zeros(len(chars) + 1)
         last = target == end[source]
-        turns = np.append(np.flatnonzero(np.diff(far, prepend=0)), len(far))
+        turns = np.append(np.flatnonzero(np.diff(distance, prepend=0)), len(distance))
         groups = np.searchsorted(new, turns)
         long = bool(lengths.max() > 64)
         for a, b, g, h in zip(turns[:-1], turns[1:], groups[:-1], groups[1:], strict=True):
@@ -202,23 +290,51 @@ class Lattices:
         cum[np.append(new[1:], len(p)) - 1] = 2.0
         states, first, wide = source[new], np.empty(len(chars), np.int64), np.empty(len(chars), np.int32)
         first[states], wide[states] = new + self.links, width
-        for c, s in zip(chunks, (ends - lengths + self.states).tolist(), strict=True):
-            self.at[c] = s
-        self.put(first=first, width=wide, source=source + self.states, piece=piece, to=np.where(last, -1, target + self.states), p=p, cum=cum)
-
-    def places(self, chunks: list[str]) -> np.ndarray:
-        """First states of the chunks; new ones are built together."""
-        get = self.at.get
-        out = [get(c) for c in chunks]
-        if new := list(dict.fromkeys(c for c, s in zip(chunks, out, strict=True) if s is None)):
-            short = [c for c in new if len(c) <= 64]
-            if short:
-                self.build(short)
-            for c in new:
-                if len(c) > 64:
-                    self.build([c])
-            out = [self.at[c] for c in chunks]
-        return np.array(out, np.int64)
+        at = ends - lengths + self.states
+        self.put(char=chars, size=far, first=first, width=wide, again=np.zeros(len(chars), bool), source=source + self.states, piece=piece, to=np.where(last, -1, target + self.states), p=p, cum=cum)
+        return at
+
+    def build_all(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Chunks of up to 64 characters together, longer ones one by one."""
+        out = np.empty(len(starts), np.int64)
+        short = np.flatnonzero(sizes <= 64)
+        if len(short):
+            out[short] = self.build(chars[self.ragged(starts[short], sizes[short])], sizes[short])
+        for i in np.flatnonzero(sizes > 64):
+            out[i] = self.build(chars[starts[i] : starts[i] + sizes[i]], sizes[i : i + 1])[0]
+        return out
+
+    def places(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """First states of the chunks that start there and fill chars; new ones are built together."""
+        sizes = np.diff(np.append(starts, len(chars)))
+        h = self.hashes(chars, starts, sizes)
+        out = self.find(h)
+        known = out >= 0
+        self.kept["again"][out[known]] = True
+        if not known.all():
+            absent = np.flatnonzero(~known)
+            fresh, which, back = np.unique(h[absent], return_index=True, return_inverse=True)
+            which = absent[which]
+            built = self.build_all(chars, starts[which], sizes[which])
+            self.insert(fresh, built)
+            out[absent] = built[back]
+        # two chunks may share a hash: those that differ from what was found are built for this time alone
+        wrong = self.kept["size"][out] != sizes
+        same = self.kept["char"][np.minimum(self.ragged(out, sizes), self.states - 1)] == chars
+        if wrong.any() or not same.all():
+            bad = np.flatnonzero(wrong | ~np.logical_and.reduceat(same, starts))
+            out[bad] = self.build_all(chars, starts[bad], sizes[bad])
+        return out
+
+    def thin(self) -> None:
+        """Forget the chunks that were met only once since the last thinning."""
+        used = np.sort(self.starts[np.flatnonzero(self.keys)].astype(np.int64))
+        used = used[self.kept["again"][used]]
+        sizes = self.kept["size"][used].astype(np.int64)
+        chars = self.kept["char"][self.ragged(used, sizes)]
+        self.clear()
+        if len(used):
+            self.places(chars, np.cumsum(sizes) - sizes)
 
     def walk(self, state: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A random path from each state to its chunk's end: steps of each, and the edges in order. salt: a number for each path."""
@@ -227,7 +343,7 @@ class Lattices:
         steps = np.zeros(n, np.int64)
         while len(where):
             u = uniform(salt + np.uint64(t))
-            edge = first[state]
+            edge = first[state].astype(np.int64)
             late = np.flatnonzero(u > cum[edge])
             while len(late):
                 edge[late] += 1
@@ -244,6 +360,9 @@ class Lattices:
         return steps, out
 
 
+SPREAD = 0xD1342543DE82EF95
+
+
 class Row:
     """A text's chunks and draws so far."""
 
@@ -253,37 +372,80 @@ class Row:
         self.sets: list[tuple[float, int, int, float, tuple[int, ...]]] = []  # -bound, draw, step, log-mass before, edges that are out
 
 
-def numbers(key: int, draw: int, chunks: np.ndarray, kind: int) -> np.ndarray:
-    """Salts by chunk (or step); kind parts the uses of random numbers."""
-    base = mix(np.array([key & (1 << 64) - 1], np.uint64) ^ mix(np.array([draw * 4 + kind], np.uint64)))
-    return mix(base ^ (chunks.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+def salt(key: int, draw: int, kind: int) -> int:
+    """Start of a stream of random numbers; kind parts their uses."""
+    return mix_one((key & ALL_BITS) ^ mix_one(draw * 4 + kind))
+
+
+def number(base: int, i: int) -> float:
+    return uniform_one(mix_one(base ^ (i * SPREAD & ALL_BITS)))
+
+
+def salts(bases: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The i-th numbers of streams, before uniform()."""
+    return mix(bases ^ (i.astype(np.uint64) * np.uint64(SPREAD)))
+
+
+def first_sets(rows: list[Row], lattices: Lattices, starts: list[int], keep: int) -> None:
+    """Bounds for what each row's newest draw left aside from step `start` on, all rows together.
+
+    The first NEAR steps are drawn in full. A later set enters the `keep` best only if its uniform lies within exp(mass ahead - least) of 1;
+    rows where any does, or that are not past LARGEST after SPAN steps, are done one by one.
+    """
+    p = lattices.kept["p"]
+    chance = np.ones((len(rows), SPAN))
+    ahead, bounds, bases = np.empty(len(rows)), np.empty(len(rows)), np.empty(len(rows), np.uint64)
+    for n, (r, start) in enumerate(zip(rows, starts, strict=True)):
+        bound, edges, _ = r.draws[-1]
+        own = edges[start : start + SPAN]
+        chance[n, : len(own)] = p[own]
+        ahead[n] = np.log(p[edges[:start]]).sum() if start else 0.0
+        bounds[n], bases[n] = bound, salt(r.key, len(r.draws) - 1, 1)
+    logs = np.log(chance)
+    after = ahead[:, None] + np.cumsum(logs, 1)
+    u = uniform(salts(bases[:, None], np.array(starts)[:, None] + np.arange(SPAN)))
+    before = after[:, :NEAR] - logs[:, :NEAR]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        location = before + np.log1p(-chance[:, :NEAR])
+        values = -np.logaddexp(-bounds[:, None], np.log(-np.log(u[:, :NEAR])) - location)
+    best = np.argpartition(-values, keep - 1, axis=1)[:, :keep]
+    kept = np.take_along_axis(values, best, 1)
+    least = kept.min(1)
+    with np.errstate(over="ignore"):
+        reach = 2 * np.exp(after[:, NEAR - 1] - least)
+    late = ((1 - u[:, NEAR:] <= reach[:, None]) & (chance[:, NEAR:] < 1)).any(1)
+    far = ~(after[:, -1] < least - LARGEST)
+    for n, (r, start) in enumerate(zip(rows, starts, strict=True)):
+        draw, edges = len(r.draws) - 1, r.draws[-1][1]
+        if late[n] or far[n] and len(edges) - start > SPAN:
+            add_sets(r, lattices, start, keep)
+            continue
+        for i, v in zip(best[n].tolist(), kept[n].tolist(), strict=True):
+            if v > -math.inf:
+                heapq.heappush(r.sets, (-v, draw, start + i, float(before[n, i]), (int(edges[start + i]),)))
 
 
 def add_sets(row: Row, lattices: Lattices, start: int, keep: int) -> None:
-    """Bounds for what the newest draw left aside from step `start` on; at most `keep` of them can matter."""
+    """The same for one row, over as many steps as pruning asks for; at most `keep` sets can matter."""
     p = lattices.kept["p"]
     bound, edges, _ = row.draws[-1]
-    draw, size, span = len(row.draws) - 1, len(edges), 64
+    draw, size, span = len(row.draws) - 1, len(edges), 8 * SPAN
     while True:
         stop = min(size, start + span)
         logs = np.log(p[edges[:stop]])
         before = np.cumsum(logs) - logs
         own = np.arange(start, stop)
         chance = p[edges[start:stop]]
-        with np.errstate(divide="ignore"):
-            location = before[start:] + np.log1p(-np.minimum(chance, 1.0))
-        # a state with one edge leaves nothing aside
-        open_ = np.isfinite(location) & (chance < 1.0)
-        own, location, ahead = own[open_], location[open_], before[start:][open_]
-        noise = np.log(-np.log(uniform(numbers(row.key, draw, own, 1))))
-        bounds = -np.logaddexp(-bound, noise - location)
-        least = np.partition(bounds, -keep)[-keep] if len(bounds) > keep else -math.inf
-        if stop == size or len(bounds) > keep and before[stop - 1] + logs[-1] < least - LARGEST:
+        open_ = chance < 1.0  # a state with one edge leaves nothing aside
+        own, chance, ahead = own[open_], chance[open_], before[start:][open_]
+        noise = np.log(-np.log(uniform(salts(np.full(len(own), salt(row.key, draw, 1), np.uint64), own))))
+        bounds = -np.logaddexp(-bound, noise - (ahead + np.log1p(-chance)))
+        best = np.argpartition(-bounds, keep - 1)[:keep] if len(bounds) > keep else np.arange(len(bounds))
+        if stop == size or len(bounds) > keep and before[-1] + logs[-1] < bounds[best].min() - LARGEST:
             break
         span *= 8
-    for i in np.argsort(-bounds, kind="stable")[:keep]:
-        row.sets.append((-float(bounds[i]), draw, int(own[i]), float(ahead[i]), (int(edges[own[i]]),)))
-    heapq.heapify(row.sets)
+    for i in best:
+        heapq.heappush(row.sets, (-float(bounds[i]), draw, int(own[i]), float(ahead[i]), (int(edges[own[i]]),)))
 
 
 def split_set(row: Row, lattices: Lattices) -> tuple[float, np.ndarray, np.ndarray, int, int]:
@@ -296,50 +458,58 @@ def split_set(row: Row, lattices: Lattices) -> tuple[float, np.ndarray, np.ndarr
     choices = [e for e in range(begin, begin + n) if e not in out]
     chances = p[choices]
     new = len(row.draws)
-    u = float(uniform(numbers(row.key, new, np.array([step]), 2))[0]) * chances.sum()
+    u = number(salt(row.key, new, 2), step) * chances.sum()
     edge = choices[min(int(np.searchsorted(np.cumsum(chances), u)), len(choices) - 1)]
     rest = sum(float(p[e]) for e in choices if e != edge)
     if rest > 0 and len(choices) > 1:
-        noise = math.log(-math.log(float(uniform(numbers(row.key, new, np.array([step]), 3))[0])))
+        noise = math.log(-math.log(number(salt(row.key, new, 3), step)))
         heapq.heappush(row.sets, (-float(-np.logaddexp(-bound, noise - (ahead + math.log(rest)))), draw, step, ahead, (*out, edge)))
     return bound, edges[:step], chunks[:step], edge, int(chunks[step])
 
 
 def sample(texts: list[str], keys: list[int], lattices: Lattices, k: int = K) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k draws (pieces, log-probability, perturbed value, log inclusion score), largest value first."""
-    chunked = [lattices.chunks(t) for t in texts]
     if lattices.states > KEPT_STATES:
-        lattices.clear()
-    states = lattices.places([c for own in chunked for c in own])
+        lattices.thin()
+        if lattices.states > KEPT_STATES // 2:
+            lattices.clear()
+    seen = [lattices.prepare(t) for t in texts]
+    ends = np.cumsum([len(t) for t in seen])
+    states, cuts = np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    if ends[-1]:
+        chars = np.frombuffer("".join(seen).encode("utf-32-le"), np.uint32)
+        starts = lattices.cut(chars, (ends - [len(t) for t in seen])[[bool(t) for t in seen]])
+        states = lattices.places(chars, starts)
+        cuts[1:] = np.searchsorted(starts, ends)
     piece, to, p = lattices.kept["piece"], lattices.kept["to"], lattices.kept["p"]
-    ends = np.cumsum([len(c) for c in chunked])
-    rows = [Row(key, states[e - len(c) : e]) for key, c, e in zip(keys, chunked, ends, strict=True)]
+    rows = [Row(key, states[i:j]) for key, i, j in zip(keys, cuts[:-1], cuts[1:], strict=True)]
 
     def finish(work: list[tuple[Row, float, np.ndarray, np.ndarray, int, int]]) -> None:
         """Walk on from each branch (row, bound, edges and chunks so far, state to go on from or -1, next whole chunk)."""
-        starts, salts, counts = [], [], []
+        starts, chunks, bases, counts = [], [], [], []
         for row, _, _, _, state, nxt in work:
-            chunks = np.arange(nxt - (state >= 0), len(row.states))
-            own = row.states[chunks].copy()
+            first = nxt - (state >= 0)
+            own = row.states[first:]
             if state >= 0:
+                own = own.copy()
                 own[0] = state
             starts.append(own)
-            salts.append(numbers(row.key, len(row.draws), chunks, 0))
+            chunks.append(np.arange(first, len(row.states)))
+            bases.append(salt(row.key, len(row.draws), 0))
             counts.append(len(own))
-        steps, edges = lattices.walk(np.concatenate(starts), np.concatenate(salts))
+        steps, edges = lattices.walk(np.concatenate(starts), salts(np.repeat(np.array(bases, np.uint64), counts), np.concatenate(chunks)))
         cuts = np.concatenate([[0], np.cumsum(steps)])[np.concatenate([[0], np.cumsum(counts)])]
         done = 0
-        for (row, bound, head, chunks, state, nxt), c, a, b in zip(work, counts, cuts[:-1], cuts[1:], strict=True):
+        for (row, bound, head, before, state, nxt), c, a, b in zip(work, counts, cuts[:-1], cuts[1:], strict=True):
             owner = np.repeat(np.arange(nxt - (state >= 0), len(row.states)), steps[done : done + c])
             done += c
-            row.draws.append((bound, np.concatenate([head, edges[a:b]]), np.concatenate([chunks, owner])))
+            row.draws.append((bound, np.concatenate([head, edges[a:b]]), np.concatenate([before, owner])))
 
     some = [r for r in rows if len(r.states)]
     nothing = np.empty(0, np.int64)
     if some:
-        finish([(r, -math.log(-math.log(float(uniform(numbers(r.key, 0, np.array([0]), 2))[0]))), nothing, nothing, -1, 0) for r in some])
-        for r in some:
-            add_sets(r, lattices, 0, k)
+        finish([(r, -math.log(-math.log(number(salt(r.key, 0, 2), 0))), nothing, nothing, -1, 0) for r in some])
+        first_sets(some, lattices, [0] * len(some), k)
     for drawn in range(1, k):
         work = []
         for r in some:
@@ -349,8 +519,7 @@ def sample(texts: list[str], keys: list[int], lattices: Lattices, k: int = K) ->
         if not work:
             break
         finish(work)
-        for r, _, head, *_ in work:
-            add_sets(r, lattices, len(head), k - drawn)
+        first_sets([w[0] for w in work], lattices, [len(w[2]) for w in work], k - drawn)
     out = []
     for r in rows:
         if not len(r.states):
@@ -366,34 +535,49 @@ def sample(texts: list[str], keys: list[int], lattices: Lattices, k: int = K) ->
     return out
 
 
-def decode(pieces: np.ndarray, names: np.ndarray) -> str:
-    """The text of a piece sequence."""
-    if not len(pieces):
-        return ""
-    pieces = np.asarray(pieces)
-    small = np.flatnonzero((pieces >= BYTES_AT) & (pieces < BYTES_AT + 256))
-    parts = names[pieces]
-    if not len(small):
-        return "".join(parts).replace(MARK, " ")[1:]
-    out, done = [], 0
-    breaks = np.flatnonzero(np.diff(small) > 1) + 1
-    for run in np.split(small, breaks):
-        out.append("".join(parts[done : run[0]]).replace(MARK, " "))
-        out.append(bytes((pieces[run] - BYTES_AT).astype(np.uint8)).decode(errors="replace"))
-        done = run[-1] + 1
-    out.append("".join(parts[done:]).replace(MARK, " "))
-    return "".join(out)[1:]
+class Decoder:
+    """Piece sequences to text, by gathering the pieces' code points."""
+
+    def __init__(self, pieces: list[str]):
+        texts = [p.replace(MARK, " ") for p in pieces]
+        texts[BYTES_AT : BYTES_AT + 256] = map(chr, range(256))
+        self.chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        self.length = np.array([len(t) for t in texts])
+        self.start = np.cumsum(self.length) - self.length
+
+    def points(self, pieces: np.ndarray) -> np.ndarray:
+        length = self.length[pieces]
+        shift = self.start[pieces] - (np.cumsum(length) - length)
+        return self.chars[np.repeat(shift, length) + np.arange(int(length.sum()))]
+
+    def __call__(self, pieces: np.ndarray) -> str:
+        pieces = np.asarray(pieces, np.int64)
+        if not len(pieces):
+            return ""
+        wide = (pieces >= BYTES_AT + 128) & (pieces < BYTES_AT + 256)
+        if not wide.any():
+            return self.points(pieces).tobytes().decode("utf-32-le")[1:]
+        out = []
+        for run in np.split(np.arange(len(pieces)), np.flatnonzero(np.diff(wide)) + 1):
+            own = pieces[run]
+            out.append(bytes((own - BYTES_AT).astype(np.uint8)).decode(errors="replace") if wide[run[0]] else self.points(own).tobytes().decode("utf-32-le"))
+        return "".join(out)[1:]
+
+
+@lru_cache(maxsize=1)
+def kept_lattices(pieces: tuple[str, ...]) -> tuple[Lattices, Decoder]:
+    """A Python worker's lattices outlive its tasks."""
+    return Lattices(list(pieces)), Decoder(list(pieces))
 
 
 def encode_samples(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int = K, model: str = MODEL, seed: int = SEED) -> DataFrame:
     """id_column, draw (from 1), n_pieces, log_prob, perturbed, log_inclusion, round_trip and ids; a row for each draw of each row."""
-    shared = df.sparkSession.sparkContext.broadcast(load_pieces(model))
+    shared = df.sparkSession.sparkContext.broadcast(tuple(load_pieces(model)))
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(F.lit(seed), f"`{id_column}`").alias("key"), F.col(f"`{text}`").cast("string").alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattices = Lattices(shared.value)
-        names = np.array(shared.value, object)
+        lattices, decode = kept_lattices(shared.value)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["t"]]
             ids, keys, at = batch["id"].tolist(), batch["key"].tolist(), 0
@@ -404,7 +588,7 @@ def encode_samples(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                     stop += 1
                 out = []
                 for i, own in zip(range(at, stop), sample(texts[at:stop], keys[at:stop], lattices, k), strict=True):
-                    out += [(ids[i], n + 1, len(x), round(lp, 6), round(v, 6), round(inc, 6), decode(x, names) == texts[i], x) for n, (x, lp, v, inc) in enumerate(own)]
+                    out += [(ids[i], n + 1, len(x), round(lp, 6), round(v, 6), round(inc, 6), decode(x) == texts[i], x) for n, (x, lp, v, inc) in enumerate(own)]
                 yield pd.DataFrame(out, columns=["id", "draw", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip", "ids"])
                 at = stop
 
@@ -418,9 +602,9 @@ def decode_samples(df: DataFrame, ids: str = "ids", out: str = "decoded", model:
 
     @F.pandas_udf("string")
     def text(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = np.array(shared.value, object)
+        decode = Decoder(shared.value)
         for batch in series:
-            yield pd.Series([None if x is None else decode(np.asarray(x, np.int64), names) for x in batch], dtype=object)
+            yield pd.Series([None if x is None else decode(x) for x in batch], dtype=object)
 
     return df.withColumn(out, text(F.col(f"`{ids}`")))
 
