@@ -1,0 +1,361 @@
+"""Segmentations, toxicity, URL filters, PII, language-model scores, archives and shards: brute force, round trips and odd tables."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from quantrel.llm import lm_scoring, pii, sentencepiece_sampling, sharding, toxicity, url_filters, warc
+
+DOCS = "doc_id long, text string"
+ODD = [None, "", " ", "\n\t", "one", "  two  spaces ", "▁mark ▁▁", "naïve 中文 \U0001f600 é", "x" * 5000, "tab\tand\nlines\n\n" * 50, "<s> <0x41> </s>"]
+
+
+# --- segmentations
+
+
+@pytest.fixture(scope="module")
+def lattices():
+    return sentencepiece_sampling.Lattices(sentencepiece_sampling.load_pieces())
+
+
+def all_paths(lattices, text):
+    """Every segmentation of one chunk with its probability."""
+    ids = {p: i for i, p in enumerate(lattices.names) if i >= 259}
+    chunk = "▁" + text
+
+    def rest(s):
+        if s == len(chunk):
+            return [((), 1.0)]
+        return [((ids[chunk[s:e]], *path), lattices.weight[ids[chunk[s:e]]] * w) for e in range(s + 1, len(chunk) + 1) if chunk[s:e] in ids for path, w in rest(e)]
+
+    paths = rest(0)
+    total = sum(w for _, w in paths)
+    return {p: w / total for p, w in paths}
+
+
+def test_draws_follow_the_distribution(lattices):
+    want = all_paths(lattices, "abcd")
+    n = 6000
+    draws = sentencepiece_sampling.sample(["abcd"] * n, list(range(n)), lattices, 3)
+    first = Counter(tuple(map(int, d[0][0])) for d in draws)
+    second = Counter(tuple(map(int, d[1][0])) for d in draws)
+    for path, p in want.items():
+        assert abs(first[path] / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 1e-3
+        q = sum(o / (1 - o) * p for other, o in want.items() if other != path and o < 1)
+        assert abs(second[path] / n - q) < 4 * math.sqrt(q * (1 - q) / n) + 2e-3
+    for d in draws:
+        assert len({tuple(x[0]) for x in d}) == 3 and [x[2] for x in d] == sorted((x[2] for x in d), reverse=True)
+        for ids, log_prob, _, _ in d:
+            assert log_prob == pytest.approx(math.log(want[tuple(map(int, ids))]))
+    # inclusion scores are unbiased: weights p / inclusion sum to 1 on average
+    assert np.mean([sum(math.exp(x[1] - x[3]) for x in d) for d in draws]) == pytest.approx(1, abs=0.05)
+
+
+def test_few_segmentations_come_once(lattices):
+    draws = sentencepiece_sampling.sample(["\n", "", "  "], [1, 2, 3], lattices, 50)
+    assert [len(d) for d in draws] == [len({tuple(x[0]) for x in d}) for d in draws]
+    assert len(draws[1]) == 1 and all(x[3] == 0 for d in draws[:2] for x in d)
+
+
+def test_round_trip_and_batches(lattices):
+    texts = [t or "" for t in ODD] + ["plain words " * 300]
+    decode = sentencepiece_sampling.Decoder(lattices.names)
+    keys = list(range(len(texts)))
+    together = sentencepiece_sampling.sample(texts, keys, lattices, 3)
+    other = sentencepiece_sampling.Lattices(lattices.names)
+    for t, k, draws in zip(texts, keys, together, strict=True):
+        alone = sentencepiece_sampling.sample([t], [k], other, 3)[0]
+        assert [x[0].tolist() for x in alone] == [x[0].tolist() for x in draws]
+        assert all(decode(x[0]) == t for x in draws)
+    other.thin()
+    assert [x[0].tolist() for x in sentencepiece_sampling.sample(texts, keys, other, 3)[7]] == [x[0].tolist() for x in together[7]]
+
+
+def test_segmentation_query(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(None, "null key", "x"), (4, "one", "x")], DOCS + ", ids string")
+    rows = sentencepiece_sampling.encode_samples(df).collect()
+    assert all(r["round_trip"] or ODD[r["doc_id"]] is None for r in rows)
+    assert sorted(tuple(r) for r in sentencepiece_sampling.encode_samples(df.repartition(3)).select("doc_id", "draw", "log_prob", "n_pieces").where("doc_id is not null").collect()) == sorted((r["doc_id"], r["draw"], r["log_prob"], r["n_pieces"]) for r in rows if r["doc_id"] is not None)
+    back = sentencepiece_sampling.decode_samples(sentencepiece_sampling.encode_samples(df)).select("doc_id", "decoded").collect()
+    assert all(r["decoded"] == (ODD[r["doc_id"]] or "") for r in back if r["doc_id"] is not None)
+    assert sentencepiece_sampling.encode_samples(df.limit(0)).collect() == []
+
+
+# --- toxicity
+
+
+def toxic_corpus():
+    rng = np.random.default_rng(0)
+    words = [f"word{c}{d}" for c in "abcdefghij" for d in "klmnopqrst"]
+    rows = []
+    for i in range(600):
+        body = list(rng.choice(words, 60))
+        toxic = i % 5 == 0
+        if toxic:
+            for j in range(1 + i // 5 % 6):
+                body[j * 7] = rng.choice(["nastyfoo", "nastybar", "vileword"])
+        rows.append((i, " ".join(body), int(toxic)))
+    return rows
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, "nastybaz and " + rows[1][1]), (1001, None), (1002, ""), (0, rows[0][1])], DOCS)
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows if i % 2 == 0] + [(None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    right = sum(got[i]["toxic"] == bool(t) for i, _, t in rows if i % 2)
+    assert right >= 295
+    assert got[1000]["toxic"] and not got[1001]["toxic"] and not got[1002]["toxic"]
+    severe = [got[i]["expected_severity"] for i, _, t in rows if t and i // 5 % 6 == 5]
+    mild = [got[i]["expected_severity"] for i, _, t in rows if t and i // 5 % 6 == 0]
+    assert np.mean(severe) > np.mean(mild) > 0.5
+    assert (np.diff(model.thresholds) > 0).all()
+    assert toxicity.score(docs, toxicity.train(docs, labels.where("toxic = 0"))).where("toxic").count() == 0
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).collect() == []
+
+
+def test_ordinal_gradient():
+    rng = np.random.default_rng(1)
+    rows = [{int(f): 1.0 for f in rng.choice(5, 2, replace=False)} for _ in range(300)]
+    score = np.array([sum((0.0, 1.0, 2.0, -1.0, 0.5)[f] for f in r) for r in rows])
+    grades = np.digitize(score + rng.logistic(size=300) * 0.3, [0.5, 1.5, 2.5])
+    w, cuts = toxicity.fit(rows, grades, 5)
+    assert np.argsort(w).tolist() == [3, 0, 4, 1, 2] and (np.diff(cuts) > 0).all()
+
+
+# --- URL filters
+
+URLS = [
+    (1, "http://a.example.org/es/1"), (2, "http://a.example.org/en/1?x"), (3, "http://EXAMPLE.ORG/en/2"), (4, "https://b.com/fr/x#y"), (5, "https://b.com/de/x"), (6, "https://b.net/de/x"), (7, None), (8, "no scheme"),
+    (9, "http://notexample.org"), (10, "http://c.com"), (11, "http://x.com?://y.org/"), (12, "http://d.net/" + "z" * 9000), (13, "http://a.org/"), (13, "http://a.org/"), (14, "HTTP://Ünï.COM/fr/É"), (15, "http://q.net\n/x"),
+]
+DECIDED = {1: ("example.org/es/", "block"), 2: ("example.org/en/1", "block"), 3: ("org/", "allow"), 4: ("com/fr/", "allow"), 5: ("com/de/", "block"), 13: ("org/", "allow"), 14: ("com/fr/", "allow")}
+
+
+def brute_host(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest)[0]
+    path = re.split(r"[?#]", rest[len(host) :])[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def test_url_rules_and_scores(spark):
+    df = spark.createDataFrame([(i, u, "old") for i, u in URLS], "page_id long, url string, host string")
+    got = url_filters.with_verdict(df).collect()
+    assert len(got) == len(URLS)
+    for r in got:
+        assert (r["host"], r["path"]) == brute_host(r["url"])
+        if r["page_id"] in DECIDED:
+            assert (r["rule"], r["verdict"]) == DECIDED[r["page_id"]]
+        else:
+            assert r["rule"] is None and r["verdict"] in ("allow", "block") and r["score"] is not None
+    assert url_filters.with_verdict(df.limit(0)).collect() == []
+    one_sided = url_filters.with_verdict(df.where("page_id in (6, 10, 13)")).where("rule is null")
+    assert {r["verdict"] for r in one_sided.collect()} == {"allow"}
+
+
+def test_markov_model():
+    m = url_filters.MarkovModel(3)
+    for t in ("abab", "abc"):
+        m.add(t)
+    for context in (b"", b"ab", b"zzz", b"xab"):
+        assert sum(math.exp(m.log_prob(context, c)) for c in range(257)) == pytest.approx(1)
+    good, bad = [f"shop{i}.example/buy" for i in range(40)], [f"casino{i}.win/free" for i in range(40)]
+    r = url_filters.Ratio(good, bad)
+    assert r.accepts(r.score("shop99.example/buy")) and not r.accepts(r.score("casino77.win/free"))
+
+
+# --- PII
+
+
+def brute_base(text):
+    out = []
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub(r"[^0-9]", "", m[0])
+        if 13 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub(r"[^0-9]", "", m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+PII_TEXTS = [
+    "mail a.b+c@x-y.example.com, or a@b@c.d e@f. g@h..i @j.k l%@m.n.o p@q.r.s@t.u", "ips 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 001.002.003.004 1..2.3.4 9.9.9 00000000001.1.1.1", "cards 4111 1111 1111 1111, 4111-1111-1111-1112 4111  1111 378282246310005x 6011111111111117",
+    "phones +1 (988) 555-2485 +44.20.7946.0958 +1-2 +12345678901234567 + 1234567890 +1 (826) 555-4081 190.137.2.1", "é" * 40 + " ü@x.de é 10.0.0.1 中 +49 30 1234567", "", "no data at all", "1" * 3000, "a@" * 500 + "b.c", "+1" * 400, "7 " * 500,
+]
+
+
+def test_base_patterns_against_brute_force():
+    rng = np.random.default_rng(0)
+    texts = PII_TEXTS + ["".join(rng.choice(list("019.@+- ()ab%"), 80)) for _ in range(3000)]
+    for t in texts:
+        assert pii.base_spans(t) == brute_base(t), t
+
+
+def test_pii_query(spark):
+    rows = [(i, t) for i, t in enumerate(PII_TEXTS)] + [(None, "1.2.3.4"), (5, None), (77, "call 415-555-0136 or (415) 555-0172, ssn 219-09-9999, mail joe(at)foo.org in 2024, pages 12-15, v3.14.2")]
+    got = pii.find(spark.createDataFrame([(*r, "k") for r in rows], DOCS + ", spans string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = dict(rows)[r["doc_id"]] if r["doc_id"] != 5 else ""
+        base = brute_base(text or "")
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(b[0] == k for b in base) for k in pii.BASE_KINDS]
+    last = next(r for r in got if r["doc_id"] == 77)
+    assert [s.split(":")[0] for s in last["spans"].split(",")] == ["local_phone", "local_phone", "national_id", "spelled_email"]
+    assert pii.find(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_chain_field():
+    field = pii.trained()
+    assert all(field.decode([run])[0].tolist() == tags for run, tags in pii.labelled_runs())
+    rng = np.random.default_rng(2)
+    tags = len(pii.TAGS)
+    scores = rng.normal(size=(7, 4, tags))
+    best = field.viterbi(scores)
+    import itertools
+
+    for n in range(2):
+        value = lambda p, n=n: field.move[0, p[0]] + sum(scores[n, t, x] for t, x in enumerate(p)) + sum(field.move[a, b] for a, b in zip(p, p[1:], strict=False)) + field.move[p[-1], 0]
+        assert tuple(best[n]) == max(itertools.product(range(tags), repeat=4), key=value)
+    # words cut off by words without marks decode as runs of their own
+    together = pii.all_spans(["tel 415-555-0136 x 219-09-9999 y"], field)[0]
+    assert [k for k, _, _ in together] == ["local_phone", "national_id"]
+
+
+def test_masking(spark):
+    assert pii.mask("a@b.co and 1.2.3.4!", [("email", 0, 6), ("ip", 11, 18)]) == "<email> and <ip>!"
+    assert pii.mask("0123456789", [("card", 1, 5), ("phone", 3, 7), ("ip", 8, 9)]) == "0<card>7<ip>9"
+    df = spark.createDataFrame([(1, "x 10.0.0.1", "m"), (2, None, "m")], "doc_id long, text string, __masked string")
+    assert [tuple(r) for r in pii.redact(df).orderBy("doc_id").collect()] == [(1, "x <ip>", "m"), (2, None, "m")]
+
+
+# --- language-model scores
+
+
+def brute_scores(texts, size):
+    docs = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for t in texts]
+    count = Counter(w for d in docs for w in d)
+    cuts = [n for n in set(count.values()) if sum(c >= n for c in count.values()) <= size]
+    vocab = {w for w, c in count.items() if cuts and c >= min(cuts)}
+    pairs = [Counter((a, b) for a, b in zip(d, d[1:], strict=False) if a in vocab and b in vocab) for d in docs]
+    total = sum(pairs, Counter())
+    for d, p in zip(docs, pairs, strict=True):
+        own, score, seen = Counter(d), 0.0, 0
+        n = max(1, sum(count.values()) - len(d))
+        for i, w in enumerate(d):
+            pair = (d[i - 1], w) if i else None
+            left = total[pair] - p[pair] if pair in p else 0
+            if left > 0:
+                score += math.log(left / (count[pair[0]] - own[pair[0]]))
+                seen += 1
+            else:
+                score += math.log(0.4) + math.log(max(1, count[w] - own[w]) if w in vocab else 1) - math.log(n)
+        yield len(d), seen, score
+
+
+@pytest.mark.parametrize("size", [4, 1000])
+def test_scores_against_brute_force(spark, size):
+    texts = ["a b a b c", "a b c d", "b c d e f g", None, "", " \n", "a", "a b a b c", "zz " * 2000, "é ü é ü"]
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)] + [(None, "a b", 1.0)], DOCS + ", n double")
+    got = {r["doc_id"]: r for r in lm_scoring.scores(df, size=size).collect()}
+    for i, (n, seen, score) in enumerate(brute_scores([*texts, "a b"], size)):
+        r = got[i if i < len(texts) else None]
+        assert (r["n_words"], r["n_seen"]) == (n, seen) and r["log_score"] == pytest.approx(score, abs=2e-6)
+        assert r["mean_log_score"] is None if n == 0 else r["mean_log_score"] == pytest.approx(score / n, abs=2e-6)
+    assert lm_scoring.scores(df.limit(0)).collect() == []
+
+
+# --- archives
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big, other = "<p>é" + "x" * 1200, "y" * 999
+    rows = [(1, "http://a/é b", big), (5, "http://b", big), (3, None, big), (None, "http://n", big), (2, "u\r\nX: y", other), (4, "u", other), (6, "u", None), (7, "u", ""), (8, "u", "z" * 700_000), (9, "u", "h\r\n\r\nWARC/1.1\r\n\r\n"), (5, "http://b", big)]
+    df = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, first string").repartition(3)
+    warc.write_bundles(df, str(tmp_path / "w"))
+    got = warc.read_bundles(spark, str(tmp_path / "w")).collect()
+    assert len(got) == len(rows)
+    html = {(i if i is None else str(i)): h for i, _, h in rows}
+    for r in got:
+        full = (html[r["page_id"]] or "").encode()
+        assert r["payload_bytes"] == len(full) and r["payload_digest"] == hashlib.sha1(full).hexdigest()
+        revisits = len(full) >= 1000 and r["page_id"] in ("1", "3", None)
+        assert (r["record_type"], r["refers_to"]) == (("revisit", "5") if revisits else ("response", None))
+        assert revisits or bytes(r["payload"]) == full
+    warc.write_bundles(df.limit(0), str(tmp_path / "e"))
+    assert warc.read_bundles(spark, str(tmp_path / "e")).collect() == []
+
+
+def test_one_record_needs_one_frame():
+    records = [(f"r{i}", f"record {i} ".encode() * (i + 1)) for i in range(50)]
+    bundles = list(warc.pack(iter(records), frame_bytes=300, bundle_bytes=4000))
+    assert len(bundles) > 2 and [x["record"] for _, index in bundles for x in index] == [r for r, _ in records]
+    import io
+
+    import zstandard
+
+    for data, index in bundles:
+        places = warc.frame_places(data)
+        for x in index:
+            frame = warc.read_frame(data, places[x["frame"]])
+            assert frame[x["offset"] : x["offset"] + x["length"]] == dict(records)[x["record"]]
+        whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
+        assert whole == b"".join(dict(records)[x["record"]] for x in index)
+
+
+# --- shards
+
+
+def test_shards_keep_their_law(spark, monkeypatch):
+    rows = [(i, f"text {i % 50}" if i % 7 else None) for i in range(3000)] + [(5, "same"), (5, "same"), (None, "n"), (None, "n")]
+    df = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(sharding, "table", lambda *a: df.repartition(5))
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 10)
+    got = sharding.op8_weighted_hash_tree(spark, "").toPandas()
+    assert len(got) == len(rows)
+    import zlib
+
+    text = {(r[0], len((r[1] or "").encode()) + 16): (r[1] or "").encode() for r in rows}
+    for r in got.itertuples():
+        key = (None if pd.isna(r.doc_id) else int(r.doc_id), r.size if isinstance(r.size, int) else got.loc[r.Index, "size"])
+        assert r.text_crc32 == zlib.crc32(text[key])
+    for _, own in got.groupby("shard"):
+        assert sorted(own["slot"]) == list(range(len(own)))
+    assert set(got["shard"]) == set(range(40))
+    moved = got[got["shard"] != got["grown_shard"]]
+    assert set(moved["grown_shard"]) == {40} and 20 < len(moved) < 140
+    assert got.groupby(got["doc_id"].fillna(-1))["shard"].nunique().max() == 1
+
+
+def test_weights_move_rows_into_changed_subtrees_only(spark):
+    df = spark.range(4000).withColumnRenamed("id", "k")
+    even = [1.0] * 40
+    heavy = [*even[:7], 3.0, *even[8:]]
+    both = sharding.assign(sharding.assign(df, "k", even, "a"), "k", heavy, "b")
+    moved = both.where("a <> b").select("a", "b").collect()
+    # into region 0; within it into rack 1; within that into shard 7, or by a draw of their own for rows new to it
+    assert all(r["b"] // 20 == 0 for r in moved) and all(r["b"] // 5 == 1 or r["a"] // 20 != 0 for r in moved)
+    share = both.agg(F.avg((F.col("b") == 7).cast("double"))).first()[0]
+    assert abs(share - 3 / 42) < 0.02
+    assert sharding.assign(df.limit(0), "k", even).collect() == []
+    gone = sharding.assign(df, "k", [0.0, *even[1:]], "c")
+    assert gone.where("c = 0").count() == 0
