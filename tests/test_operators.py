@@ -273,3 +273,25 @@ def test_worlds(spark):
     assert b.select(vision.iou("a", "b")).first()[0] == pytest.approx(25 / 175)
     assert decision.compute_optimal(spark, 1e18).first()["loss"] == pytest.approx(3.535, abs=1e-3)
     assert [round(r["alpha_bar"], 3) for r in decision.diffusion_schedule(spark).where("t in (10, 39)").orderBy("t").collect()] == [0.806, 0.042]
+
+
+def test_isotonic_fit(spark, rows):
+    from quantrel.operators import calibration
+
+    pdf, df = rows
+    blocks = calibration.isotonic(df, "score", "flag")
+    values = [m for _, _, m in blocks]
+    assert values == sorted(values) and all(a[1] < b[0] for a, b in zip(blocks, blocks[1:], strict=False))
+    by = pdf.groupby("score").flag.agg(["mean", "size"]).reset_index()
+    want = calibration.pool_adjacent(by["mean"].to_numpy(), by["size"].to_numpy(float))
+    assert np.allclose(values, [m for m, *_ in want])
+    got = calibration.calibrate(df, "score", blocks).agg(F.avg("calibrated")).first()[0]
+    assert got == pytest.approx(pdf.flag.mean())
+
+
+def test_smoothing_and_stacking(rows):
+    pdf, df = rows
+    s = linear.smoothing_spline(df.withColumn("z", F.sin(2 * F.col("a"))), "a", "z")
+    assert s["gcv"] < 0.02 and 3 < s["dof"] < 11
+    r = linear.stack(splits.hashed_fold(df, 5, "id"), {"good": ["a", "b", "c"], "bad": ["c"]}, "y", "fold")
+    assert r["weights"]["good"] > 0.95 and sum(r["weights"].values()) == pytest.approx(1)
