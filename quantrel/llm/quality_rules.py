@@ -127,15 +127,21 @@ def plan(df: DataFrame, text: str, rules: tuple[Rule, ...], sample_rows: int = S
 
 
 def with_verdict(df: DataFrame, rules: list[Rule], text: str = "text", rejected_by: str = "rejected_by") -> DataFrame:
-    """Adds `rejected_by`: the first rule of the cascade that rejects the row, null where none does."""
-    n = reserve(df, "t", "w", "chars")
-    t, w = F.col(n["t"]), F.col(n["w"])
-    case, features = F, Features(t, w, word_chars=F.col(n["chars"]))
-    for r in rules:
-        case = case.when(r.rejects(features), F.lit(r.name))
-    verdict = case if rules else F.lit(None).cast("string")
-    rows = df.withColumn(n["t"], F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn(n["w"], split_words(t)).withColumn(n["chars"], word_chars(w))
-    return rows.withColumn(rejected_by, verdict).drop(*n.values())
+    """Adds `rejected_by`: the first rule of the cascade that rejects the row, null where none does.
+
+    The verdict is one expression that binds the words itself: as a column of its own they would be put back into every use
+    of them when a filter on the verdict is pushed down, and be split again for each word.
+    """
+    own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+
+    def verdict(t: Column, w: Column, chars: Column) -> Column:
+        case, features = F, Features(t, w, word_chars=chars)
+        for r in rules:
+            case = case.when(r.rejects(features), F.lit(r.name))
+        return case
+
+    bound = let(own, lambda t: let(split_words(t), lambda w: let(word_chars(w), lambda chars: verdict(t, w, chars)))) if rules else F.lit(None).cast("string")
+    return df.withColumn(rejected_by, bound)
 
 
 def filter_documents(df: DataFrame, text: str = "text") -> DataFrame:
