@@ -24,6 +24,7 @@ empty result. Null keys hash like a key of their own; extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import math
 import re
@@ -45,7 +46,9 @@ MARK, BYTES_AT = "▁", 3
 PER_CHAR = math.exp(3.0)
 LARGEST = 53 * math.log(2) + 0.01
 #: States of kept chunks, and rows and characters that walk together.
-KEPT_STATES, BATCH_ROWS, BATCH_CHARS = 1_500_000, 300, 1_000_000
+KEPT_STATES, BATCH_ROWS, BATCH_CHARS = 800_000, 150, 400_000
+#: Characters of new chunks that are built together.
+BUILD_CHARS = 100_000
 #: Steps of a walk whose sets get bounds in full, and that are looked at, at once; further ones only where pruning asks for them.
 NEAR, SPAN = 64, 448
 ALL_BITS = (1 << 64) - 1
@@ -159,11 +162,11 @@ class Lattices:
         self.keys, self.starts = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
 
     def put(self, **values: np.ndarray) -> None:
-        """Append to the kept arrays, which double as needed."""
+        """Append to the kept arrays, which grow by a quarter as needed."""
         for k, new in values.items():
             done = self.states if k in self.BY_STATE else self.links
             if done + len(new) > len(self.kept[k]):
-                self.kept[k] = np.concatenate([self.kept[k], np.zeros(done + 2 * len(new), self.KINDS[k])])
+                self.kept[k] = np.concatenate([self.kept[k], np.zeros(done // 4 + len(new), self.KINDS[k])])
             self.kept[k][done : done + len(new)] = new
         self.states += len(values["first"])
         self.links += len(values["p"])
@@ -295,11 +298,13 @@ class Lattices:
         return at
 
     def build_all(self, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Chunks of up to 64 characters together, longer ones one by one."""
+        """Chunks of up to 64 characters in blocks of bounded size, longer ones one by one."""
         out = np.empty(len(starts), np.int64)
         short = np.flatnonzero(sizes <= 64)
-        if len(short):
-            out[short] = self.build(chars[self.ragged(starts[short], sizes[short])], sizes[short])
+        blocks = np.cumsum(sizes[short]) // BUILD_CHARS
+        for own in np.split(short, np.flatnonzero(np.diff(blocks)) + 1):
+            if len(own):
+                out[own] = self.build(chars[self.ragged(starts[own], sizes[own])], sizes[own])
         for i in np.flatnonzero(sizes > 64):
             out[i] = self.build(chars[starts[i] : starts[i] + sizes[i]], sizes[i : i + 1])[0]
         return out
@@ -570,6 +575,13 @@ def kept_lattices(pieces: tuple[str, ...]) -> tuple[Lattices, Decoder]:
     return Lattices(list(pieces)), Decoder(list(pieces))
 
 
+def trim() -> None:
+    """Give freed memory back to the system, as idle Python workers keep theirs."""
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def encode_samples(df: DataFrame, id_column: str = "doc_id", text: str = "text", k: int = K, model: str = MODEL, seed: int = SEED) -> DataFrame:
     """id_column, draw (from 1), n_pieces, log_prob, perturbed, log_inclusion, round_trip and ids; a row for each draw of each row."""
     shared = df.sparkSession.sparkContext.broadcast(tuple(load_pieces(model)))
@@ -591,6 +603,7 @@ def encode_samples(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                     out += [(ids[i], n + 1, len(x), round(lp, 6), round(v, 6), round(inc, 6), decode(x) == texts[i], x) for n, (x, lp, v, inc) in enumerate(own)]
                 yield pd.DataFrame(out, columns=["id", "draw", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip", "ids"])
                 at = stop
+        trim()
 
     schema = f"id {kind}, draw int, n_pieces long, log_prob double, perturbed double, log_inclusion double, round_trip boolean, ids array<int>"
     return rows.mapInPandas(draw, schema).withColumnRenamed("id", id_column)
