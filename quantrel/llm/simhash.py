@@ -108,27 +108,27 @@ def link_table(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, fp (long), component (smallest id reachable), mult, a row for each distinct id, text and input partition."""
+    """id, th (hash of the text), fp (long), root, component (smallest id reachable) and mult, a row for each distinct id, text and input partition."""
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("th", F.xxhash64("t")).withColumn("part", F.spark_partition_id())
-    own = materialise(fingerprints(rows, ["part", "id", "th"], "t").select("id", "fp", "mult"), "simhash-prints")
+    own = materialise(fingerprints(rows, ["part", "id", "th"], "t").select("id", "th", "fp", "mult"), "simhash-prints")
     prints = own.groupBy("fp").agg(F.min("id").alias("first_id"))
     found = materialise(components(link_table(prints.select("fp"))), "simhash-roots").select(F.col("v").alias("fp"), "root")
     rooted = materialise(prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    return own.join(rooted.join(least, "root").select("fp", "component"), "fp")
+    return own.join(rooted.join(least, "root").select("fp", "root", "component"), "fp")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df of which each component's smallest id is left; columns as they were.
+    """One row of each component: that of the smallest id (null ids last), then of the smallest hash of its text; columns as they were.
 
-    Rows that repeat that id with the same text stay once; rows with null id stay only if
-    their component has no other.
+    Of rows that repeat both, which are alike but for other columns, any one stays.
     """
-    n = reserve(df, "id", "row")
-    found = near_duplicates(df, id_column, text)
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(n["id"])).distinct()
-    kept = df.join(keep, F.col(f"`{id_column}`").eqNullSafe(F.col(n["id"])), "left_semi")
-    return kept.dropDuplicates([id_column])
+    n = reserve(df, "id", "th", "own")
+    best = near_duplicates(df, id_column, text).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "th")).alias("b"))
+    keep = best.select(F.col("b.id").alias(n["id"]), F.col("b.th").alias(n["th"]))
+    marked = df.withColumn(n["own"], F.xxhash64(F.col(f"`{text}`").cast("string")))
+    kept = marked.join(keep, F.col(f"`{id_column}`").eqNullSafe(F.col(n["id"])) & (F.col(n["own"]) == F.col(n["th"])), "left_semi")
+    return kept.dropDuplicates([id_column, n["own"]]).drop(n["own"])
 
 
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,9 @@ def test_simhash_odd_tables(spark, monkeypatch):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert simhash.keep_one(df.limit(0)).collect() == []
+    mixed = spark.createDataFrame([(7, PROSE), (7, "other text of its own"), (3, PROSE), (None, None), (None, ""), (None, "single null")], DOCS)
+    assert sorted(map(str, simhash.keep_one(mixed).collect())) == sorted(map(str, mixed.where("doc_id = 3 or text in ('other text of its own', 'single null')").collect() + simhash.keep_one(mixed).where("coalesce(text, '') = ''").collect()))
+    assert simhash.keep_one(mixed).where("coalesce(text, '') = ''").count() == 1
 
 
 def brute_hits(docs, items):
