@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, smallest, table
 
 LABELLED_ROWS = 10_000
 FEATURES, LEAST_DOCS, LEAST_Z = 1000, 3, 4.0
@@ -110,7 +110,7 @@ def fit(rows: list[dict[int, float]], grades: np.ndarray, size: int, rounds: int
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(id, t, toxic) of the bounded sample, written once."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
+    chosen = smallest(chosen.withColumn("h", F.xxhash64("doc_id")), "h", rows, "doc_id", "toxic").drop("h")
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     return materialise(own.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "t", "toxic"), "toxicity-sample")
 

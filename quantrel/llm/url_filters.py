@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, reserve, table
+from .common import lower_ascii, reserve, smallest, table
 
 #: Verdict, host, path.
 RULES = (
@@ -136,7 +136,7 @@ def with_verdict(df: DataFrame, id_column: str = "page_id", url: str = "url", sa
 
     def examples(verdict: str) -> list[str]:
         own = judged.where(F.col(n["rule"])["verdict"] == verdict).select(text.alias("t"), F.xxhash64(f"`{id_column}`", f"`{url}`").alias("h"))
-        return [r["t"] for r in own.orderBy("h", "t").limit(sample).collect()]
+        return [r["t"] for r in smallest(own, "h", sample, "t").collect()]
 
     shared = df.sparkSession.sparkContext.broadcast(Ratio(examples("allow"), examples("block")))
 
