@@ -130,8 +130,8 @@ def brier_decomposition(bins: DataFrame) -> DataFrame:
 
 
 def pinned(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that results compare by value."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded and without a negative zero, so that results compare by value."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def previous(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:

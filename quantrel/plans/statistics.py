@@ -105,7 +105,7 @@ def variance_forms(spark, d):
 
 
 @query("""SELECT event_id, round(1 / (1 + exp(-value / 50)), 6) AS sigmoid, round(ln(1 + exp(value / 50)), 6) AS softplus, round(greatest(value, 0), 6) AS relu, round(CASE WHEN value > 0 THEN value ELSE 0.01 * value END, 6) AS leaky,
- round(CASE WHEN value / 50 > 0 THEN value / 50 ELSE exp(value / 50) - 1 END, 6) AS elu, round(value / 50 / (1 + exp(-value / 50)), 6) AS swish, round(sign(value - 50) * greatest(abs(value - 50) - 10, 0), 6) AS shrunk, round(1 / cosh(value / 50) / cosh(value / 50), 6) AS d_tanh FROM events""")
+ round(CASE WHEN value / 50 > 0 THEN value / 50 ELSE exp(value / 50) - 1 END, 6) AS elu, round(value / 50 / (1 + exp(-value / 50)), 6) AS swish, round(sign(value - 50) * greatest(abs(value - 50) - 10, 0), 6) + 0 AS shrunk, round(1 / cosh(value / 50) / cosh(value / 50), 6) AS d_tanh FROM events""")
 def activations(spark, d):
     v = F.col("value")
     z = v / 50

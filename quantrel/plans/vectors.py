@@ -209,7 +209,7 @@ def online_softmax_attention(spark, d):
     return pinned(merged)
 
 
-@query(f"""WITH b AS (SELECT vec_id, list_max(list_transform(v, lambda x: abs(x))) / 7 AS s, v FROM {E}) SELECT vec_id, p::INT - 1 AS p, round(CASE WHEN s > 0 THEN round_even(v[p] / s, 0) * s ELSE 0 END, 6) AS x FROM (SELECT *, unnest(range(1, 65)) AS p FROM b)""")
+@query(f"""WITH b AS (SELECT vec_id, list_max(list_transform(v, lambda x: abs(x))) / 7 AS s, v FROM {E}) SELECT vec_id, p::INT - 1 AS p, round(CASE WHEN s > 0 THEN round_even(v[p] / s, 0) * s ELSE 0 END, 6) + 0 AS x FROM (SELECT *, unnest(range(1, 65)) AS p FROM b)""")
 def quantize_blockwise(spark, d):
     return pinned(vectors(spark, d).select("vec_id", F.posexplode(fn.quantize_block(F.col("v"), 4)).alias("p", "x")))
 
