@@ -6,8 +6,8 @@ vector for all thresholds. Features are log(1 + count) of words and of word begi
 Training takes at most LABELLED_ROWS labelled documents, the smallest by hash of their id (a documented bound; the
 model, not the corpus, rests on it), in three aggregates that run where the texts are:
 which features part toxic from other documents (the FEATURES most telling), the features of the labelled documents, and grades.
-Labels say toxic or not; a toxic document's grade is the third of the toxic documents that its rate of telling words falls
-in, so that sharing weights across thresholds has grades to share over. Every document is then scored whole.
+Labels say toxic or not; a toxic document's grade is the third of the toxic documents that its sum of toxic-side features falls
+in: grades that a sum of features orders are what weights shared across thresholds can fit. Every document is then scored whole.
 
 Output: the grade probabilities' expected severity, the likeliest grade, and toxic, which holds where P(grade >= 1) >= 0.5.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, smallest, table
 
-LABELLED_ROWS = 10_000
-FEATURES, LEAST_DOCS, LEAST_Z = 1000, 3, 4.0
+LABELLED_ROWS = 20_000
+FEATURES, LEAST_DOCS, LEAST_Z = 6000, 3, 2.3
 GRADES, STARTS = 4, (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -149,14 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Ordi
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [empty.sparse(t) for t in batch["t"]]
-            yield pd.DataFrame({"id": batch["id"].astype(str), "toxic": batch["toxic"], "places": [list(x) for x in own], "values": [list(x.values()) for x in own], "words": [len(WORD.findall(t)) for t in batch["t"]]})
+            yield pd.DataFrame({"id": batch["id"].astype(str), "toxic": batch["toxic"], "places": [list(x) for x in own], "values": [list(x.values()) for x in own]})
 
-    got = sample.mapInPandas(features, "id string, toxic int, places array<int>, values array<double>, words long").toPandas().sort_values("id", kind="stable")
+    got = sample.mapInPandas(features, "id string, toxic int, places array<int>, values array<double>").toPandas().sort_values("id", kind="stable")
     rows_ = [dict(zip(map(int, p), map(float, x), strict=True)) for p, x in zip(got["places"], got["values"], strict=True)]
     toxic = got["toxic"].to_numpy()
-    rate = np.array([sum(np.expm1(x) for f, x in r.items() if f in toxic_side) / max(1, n) for r, n in zip(rows_, got["words"], strict=True)])
-    cuts = np.quantile(rate[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, rate, side="right"), 0)
+    mass = np.array([sum(x for f, x in r.items() if f in toxic_side) for r in rows_])
+    cuts = np.quantile(mass[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, mass, side="right"), 0)
     return OrdinalModel(vocabulary, *fit(rows_, grades, len(vocabulary)))
 
 

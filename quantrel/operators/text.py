@@ -43,9 +43,12 @@ def best_terms(weights: DataFrame, key: str, k: int) -> DataFrame:
 
 def cooccurrence(df: DataFrame, tokens: Column, window: int = 2) -> DataFrame:
     """centre, context, n within the window: pairs are formed inside each row, then counted with partial sums."""
-    t = df.select(tokens.alias("t"))
-    pairs = F.flatten(F.transform("t", lambda c, i: F.transform(F.filter(F.sequence(F.greatest(i - window, F.lit(0)), F.least(i + window, F.size("t") - 1)), lambda j: j != i), lambda j: F.struct(c.alias("centre"), F.get("t", j).alias("context")))))
-    return t.select(F.explode(pairs).alias("p")).groupBy("p.centre", "p.context").agg(F.count(F.lit(1)).alias("n"))
+    t, sides = df.select(tokens.alias("t")), []
+    for gap in range(1, window + 1):
+        size = F.greatest(F.size("t") - gap, F.lit(0))
+        first, second = F.slice("t", F.lit(1), size), F.slice("t", F.lit(1 + gap), size)
+        sides += [F.zip_with(x, y, lambda c, o: F.struct(c.alias("centre"), o.alias("context"))) for x, y in ((first, second), (second, first))]
+    return t.select(F.explode(F.concat(*sides)).alias("p")).groupBy("p.centre", "p.context").agg(F.count(F.lit(1)).alias("n"))
 
 
 def symbol_counts(word_freq: DataFrame, symbols: str, freq: str) -> DataFrame:
@@ -100,11 +103,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def overlap(df: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
-    """key, both (multiset intersection), na, nb."""
-    side = lambda g, name: df.select(key, F.explode(g).alias("tok")).groupBy(key, "tok").agg(F.count(F.lit(1)).alias(name))
-    m = side(a, "ca").join(side(b, "cb"), [key, "tok"], "full")
-    ca, cb = F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))
-    return m.groupBy(key).agg(F.sum(F.least(ca, cb)).alias("both"), F.sum(ca).alias("na"), F.sum(cb).alias("nb"))
+    """key, both (multiset intersection), na, nb: the grams of both sides are counted in one grouping, without a join."""
+    side = lambda g, of: F.transform(g, lambda x: F.struct(x.alias("tok"), F.lit(of).alias("of")))
+    rows = df.select(key, F.explode(F.concat(side(a, 0), side(b, 1))).alias("x")).groupBy(key, "x.tok").agg(F.count_if(F.col("x.of") == 0).alias("ca"), F.count_if(F.col("x.of") == 1).alias("cb"))
+    return rows.groupBy(key).agg(F.sum(F.least("ca", "cb")).alias("both"), F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
 
 
 def rouge_n(df: DataFrame, key: str, reference: str, hypothesis: str, n: int) -> DataFrame:
@@ -115,10 +117,12 @@ def rouge_n(df: DataFrame, key: str, reference: str, hypothesis: str, n: int) ->
 
 def bleu(df: DataFrame, key: str, reference: str, hypothesis: str, top: int = 4) -> DataFrame:
     """key, p1.., brevity and bleu; 0 where any precision is 0, without smoothing."""
-    out = df.select(key, F.size(words(F.col(reference))).alias("rl"), F.size(words(F.col(hypothesis))).alias("hl"))
-    for n in range(1, top + 1):
-        o = overlap(df, key, ngrams(words(F.col(reference)), n), ngrams(words(F.col(hypothesis)), n))
-        out = out.join(o.select(key, fn.ratio(F.col("both"), F.col("nb"), 0.0).alias(f"p{n}")), key, "left").na.fill(0.0, [f"p{n}"])
+    rows = df.select(key, words(F.col(reference)).alias("r"), words(F.col(hypothesis)).alias("h")).withColumn("rl", F.size("r")).withColumn("hl", F.size("h"))
+    side = lambda c, n, of: F.transform(ngrams(F.col(c), n), lambda x: F.struct(F.lit(n).alias("n"), x.alias("tok"), F.lit(of).alias("of")))
+    grams = rows.select(key, F.explode(F.concat(*(side(c, n, of) for n in range(1, top + 1) for of, c in enumerate(("r", "h"))))).alias("x"))
+    counts = grams.groupBy(key, "x.n", "x.tok").agg(F.count_if(F.col("x.of") == 0).alias("cr"), F.count_if(F.col("x.of") == 1).alias("ch"))
+    by = counts.groupBy(key).agg(*(fn.ratio(F.sum(F.when(F.col("n") == n, F.least("cr", "ch"))), F.sum(F.when(F.col("n") == n, F.col("ch"))), 0.0).alias(f"p{n}") for n in range(1, top + 1)))
+    out = rows.select(key, "rl", "hl").join(by, key, "left").na.fill(0.0, [f"p{n}" for n in range(1, top + 1)])
     brevity = F.when(F.col("hl") == 0, 0.0).when(F.col("hl") >= F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.greatest(F.col("hl"), F.lit(1))))
     mean = F.exp(sum((F.ln(F.when(F.col(f"p{n}") > 0, F.col(f"p{n}"))) for n in range(1, top + 1)), F.lit(0.0)) / top)
     return out.withColumn("brevity", brevity).withColumn("bleu", F.coalesce(F.col("brevity") * mean, F.lit(0.0)))
