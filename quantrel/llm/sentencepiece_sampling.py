@@ -33,6 +33,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -588,25 +590,28 @@ def encode_samples(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(F.lit(seed), f"`{id_column}`").alias("key"), F.col(f"`{text}`").cast("string").alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices, decode = kept_lattices(shared.value)
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["t"]]
-            ids, keys, at = batch["id"].tolist(), batch["key"].tolist(), 0
-            while at < len(texts):
-                stop, chars = at + 1, len(texts[at])
-                while stop < len(texts) and stop - at < BATCH_ROWS and chars + len(texts[stop]) <= BATCH_CHARS:
-                    chars += len(texts[stop])
+            sizes, at = pc.binary_length(batch.column("t")).fill_null(0).to_pylist(), 0
+            while at < len(sizes):
+                stop, held = at + 1, sizes[at]
+                while stop < len(sizes) and stop - at < BATCH_ROWS and held + sizes[stop] <= BATCH_CHARS:
+                    held += sizes[stop]
                     stop += 1
-                out = []
-                for i, own in zip(range(at, stop), sample(texts[at:stop], keys[at:stop], lattices, k), strict=True):
-                    out += [(ids[i], n + 1, len(x), round(lp, 6), round(v, 6), round(inc, 6), decode(x) == texts[i], x) for n, (x, lp, v, inc) in enumerate(own)]
-                yield pd.DataFrame(out, columns=["id", "draw", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip", "ids"])
+                part = batch.slice(at, stop - at)
+                texts, out = [t or "" for t in part.column("t").to_pylist()], []
+                for i, own in enumerate(sample(texts, part.column("key").to_pylist(), lattices, k)):
+                    out += [(i, n + 1, len(x), round(lp, 6), round(v, 6), round(inc, 6), decode(x) == texts[i], x) for n, (x, lp, v, inc) in enumerate(own)]
+                rows, *columns = zip(*out, strict=True)
+                kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()))
+                made = [part.column("id").take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(made, ["id", "draw", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip", "ids"])
                 at = stop
-        trim()
+            trim()
 
     schema = f"id {kind}, draw int, n_pieces long, log_prob double, perturbed double, log_inclusion double, round_trip boolean, ids array<int>"
-    return rows.mapInPandas(draw, schema).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(draw, schema).withColumnRenamed("id", id_column)
 
 
 def decode_samples(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
