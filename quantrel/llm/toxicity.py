@@ -18,6 +18,7 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from .common import materialise, smallest, table
 LABELLED_ROWS = 20_000
 FEATURES, LEAST_DOCS, LEAST_Z = 6000, 3, 2.3
 GRADES, STARTS = 4, (4, 5, 6)
+KEPT_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -52,21 +54,28 @@ class OrdinalModel:
     def __init__(self, vocabulary: list[str], weights: np.ndarray, thresholds: np.ndarray):
         self.places = {f: i for i, f in enumerate(vocabulary)}
         self.weights, self.thresholds = weights, thresholds
+        self.kept: dict[str, tuple[int, ...]] = {}
         self.words = {f for f in vocabulary if f[-1] != "*"}
         self.starts = {f[:-1] for f in vocabulary if f[-1] == "*"}
 
+    def places_of(self, word: str) -> tuple[int, ...]:
+        """Places of the word and of its beginnings; kept, as texts share most of their words."""
+        if len(self.kept) > KEPT_WORDS:
+            self.kept.clear()
+        own = [self.places[word]] if word in self.words else []
+        own += [self.places[f"{word[:n]}*"] for n in STARTS if len(word) > n and word[:n] in self.starts]
+        self.kept[word] = out = tuple(own)
+        return out
+
     def sparse(self, text: str) -> dict[int, float]:
         """Place -> log(1 + count) of the features that the text has."""
-        found: dict[str, int] = {}
-        words = WORD.findall(text.lower())
-        for w in set(words):
-            own = [w] if w in self.words else []
-            own += [f"{w[:n]}*" for n in STARTS if len(w) > n and w[:n] in self.starts]
-            if own:
-                c = words.count(w)
-                for f in own:
-                    found[f] = found.get(f, 0) + c
-        return {self.places[f]: float(np.log1p(c)) for f, c in found.items()}
+        found: dict[int, int] = {}
+        get = self.kept.get
+        for w, c in Counter(WORD.findall(text.lower())).items():
+            own = get(w)
+            for f in self.places_of(w) if own is None else own:
+                found[f] = found.get(f, 0) + c
+        return {f: math.log1p(c) for f, c in found.items()}
 
     def probabilities(self, scores: np.ndarray) -> np.ndarray:
         below = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
