@@ -82,14 +82,12 @@ class OrdinalModel:
         return np.diff(np.concatenate([np.zeros((len(scores), 1)), below, np.ones((len(scores), 1))], 1), axis=1)
 
 
-def fit(rows: list[dict[int, float]], grades: np.ndarray, size: int, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the highest penalised likelihood, by Adam on full passes.
+def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarray, size: int, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of the highest penalised likelihood, by Adam on full passes; entries are (row, feature, value).
 
     Thresholds are a first value and the logarithms of their gaps, so they always rise.
     """
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feature = np.fromiter((f for r in rows for f in r), int, len(at))
-    value = np.fromiter((v for r in rows for v in r.values()), float, len(at))
+    n = len(grades)
     share = np.bincount(grades, minlength=GRADES).cumsum()[:-1] / len(grades)
     cut = np.maximum.accumulate(np.log((share + 1e-3) / (1 - share + 1e-3)))
     v = np.concatenate([np.zeros(size), cut[:1], np.log(np.maximum(np.diff(cut), 0.1))])
@@ -98,16 +96,16 @@ def fit(rows: list[dict[int, float]], grades: np.ndarray, size: int, rounds: int
     for t in range(1, rounds + 1):
         gaps = np.exp(v[size + 1 :])
         thresholds = np.concatenate([[-np.inf], v[size] + np.concatenate([[0], gaps.cumsum()]), [np.inf]])
-        scores = np.bincount(at, weights=value * v[feature], minlength=len(rows))
+        scores = np.bincount(at, weights=value * v[feature], minlength=n)
         up, low = sigmoid(thresholds[grades + 1] - scores), sigmoid(thresholds[grades] - scores)
         p = np.maximum(up - low, 1e-12)
         du, dl = up * (1 - up) / p, low * (1 - low) / p
-        slope = (du - dl) / len(rows)
+        slope = (du - dl) / n
         g = np.zeros_like(v)
         g[:size] = np.bincount(feature, weights=value * slope[at], minlength=size) + ridge * v[:size]
         by = np.zeros(GRADES + 1)
-        np.add.at(by, grades + 1, -du / len(rows))
-        np.add.at(by, grades, dl / len(rows))
+        np.add.at(by, grades + 1, -du / n)
+        np.add.at(by, grades, dl / n)
         inner = by[1:GRADES]
         g[size] = inner.sum()
         g[size + 1 :] = gaps * inner[::-1].cumsum()[::-1][1:]
@@ -161,12 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Ordi
             yield pd.DataFrame({"id": batch["id"].astype(str), "toxic": batch["toxic"], "places": [list(x) for x in own], "values": [list(x.values()) for x in own]})
 
     got = sample.mapInPandas(features, "id string, toxic int, places array<int>, values array<double>").toPandas().sort_values("id", kind="stable")
-    rows_ = [dict(zip(map(int, p), map(float, x), strict=True)) for p, x in zip(got["places"], got["values"], strict=True)]
+    at = np.repeat(np.arange(len(got)), got["places"].map(len))
+    feature, value = (np.concatenate([np.empty(0, kind), *got[c]]).astype(kind) for c, kind in (("places", np.int32), ("values", np.float64)))
     toxic = got["toxic"].to_numpy()
-    mass = np.array([sum(x for f, x in r.items() if f in toxic_side) for r in rows_])
+    side = np.zeros(len(vocabulary), bool)
+    side[list(toxic_side)] = True
+    mass = np.bincount(at, weights=value * side[feature], minlength=len(got))
     cuts = np.quantile(mass[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, mass, side="right"), 0)
-    return OrdinalModel(vocabulary, *fit(rows_, grades, len(vocabulary)))
+    return OrdinalModel(vocabulary, *fit(at, feature, value, grades, len(vocabulary)))
 
 
 def score(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:

@@ -126,7 +126,8 @@ def test_ordinal_gradient():
     rows = [{int(f): 1.0 for f in rng.choice(5, 2, replace=False)} for _ in range(300)]
     score = np.array([sum((0.0, 1.0, 2.0, -1.0, 0.5)[f] for f in r) for r in rows])
     grades = np.digitize(score + rng.logistic(size=300) * 0.3, [0.5, 1.5, 2.5])
-    w, cuts = toxicity.fit(rows, grades, 5)
+    at = np.repeat(np.arange(300), 2)
+    w, cuts = toxicity.fit(at, np.array([f for r in rows for f in r]), np.ones(600), grades, 5)
     assert np.argsort(w).tolist() == [3, 0, 4, 1, 2] and (np.diff(cuts) > 0).all()
 
 
