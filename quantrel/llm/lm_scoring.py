@@ -2,13 +2,12 @@ r"""Operator 6: stupid-backoff language-model scores, computed relationally.
 
 Counts come from the whole corpus, and a document is scored by those of the others: its own counts are taken off, so that
 no text vouches for itself. With c' for such counts and N' for the other documents' words, a word w after v scores
-c'(v w) / c'(v) where c'(v w) > 0, else ALPHA * max(1, c'(w)) / N'. Words are `[^\x20\x09-\x0D]+`; the most frequent, at most
-VOCABULARY, have a count of their own (words of equal count are in or out together), all others count as unseen, and so do pairs with them.
+c'(v w) / c'(v) where c'(v w) > 0, else ALPHA * max(1, c'(w)) / N'; a higher order tries longer histories first, each step back
+costing ALPHA. Words are `[^\x20\x09-\x0D]+`; all words and all their n-grams are counted.
 
-The plan: words are counted with partial aggregates; the vocabulary, whose size is fixed, goes to every task; each document's
-distinct pairs with their counts are written once; the pair counts are one table and the exploded pairs another, both hashed by
-pair and joined (adaptive skew joins split a frequent pair's rows, and each document brings a pair once); the
-terms are summed per document.
+The plan: n-grams, as text, are counted with partial aggregates; those that occur more than once are written with the counts of their
+prefix, suffix and middle; each document's distinct n-grams are joined to them by text (adaptive skew joins split a frequent one's rows, and
+each document brings an n-gram once). What an n-gram adds to the score over its suffix is a sum of logs of the four counts, and these are summed per document.
 
 Defined cases: a null or empty text has no words, score 0 and null mean. A single document is scored with N' = 1. Repeated rows count as
 documents of their own. Texts of any length are taken whole. An empty table gives an empty result. Extra columns are ignored.
@@ -21,87 +20,126 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, split_words, table
+from .common import let, materialise, split_words, table, upto
 
-#: Ids take 16 bits, so that a pair is one int; 0 stands for words outside.
-VOCABULARY, ALPHA = 16_384, 0.4
-#: Characters of text whose pairs are handed over together.
+ALPHA, ORDER = 0.4, 2
+#: Characters of text whose n-grams are handed over together.
 BATCH_CHARS = 2_000_000
 SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def vocabulary(docs: DataFrame, text: str, size: int = VOCABULARY) -> tuple[list[tuple[str, int]], int]:
-    """The words that occur at least as often as the smallest count that at most `size` words reach, with their counts, and the number of
-    all words. The driver sees how many words have each count (at most about sqrt(2 * words) rows) and the vocabulary."""
-    counts = materialise(docs.select(F.explode(split_words(F.col(text).cast("string"))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "lm-words")
-    total = reached = 0
-    cut = None
-    for n, words in sorted(counts.groupBy("n").count().collect(), reverse=True):
-        total, reached = total + n * words, reached + words
-        cut = n if reached <= size else cut
-    if cut is None:
-        return [], total
-    return sorted(((r["w"], r["n"]) for r in counts.where(F.col("n") >= cut).collect()), key=lambda x: (-x[1], x[0])), total
-
-
-def document_pairs(docs: DataFrame, text: str, words: list[tuple[str, int]]) -> DataFrame:
-    """row, doc_id, n_words, backed (words that no pair precedes), base (their log counts), and the pairs with in-document counts."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: (i + 1, n) for i, (w, n) in enumerate(words)})
+def gram_counts(docs: DataFrame, text: str, order: int) -> tuple[DataFrame, int]:
+    """gram (words joined by blanks), k (its words) and c for every n-gram that occurs more than once, and the number of all words."""
+
+    def longer(w: Column, k: int) -> Column:
+        return F.transform(upto(F.size(w) - (k - 1)), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(k))))
+
+    def grams(w: Column) -> Column:
+        return F.concat(w, *(longer(w, k) for k in range(2, order + 1)))
+
+    seen = Observation()
+    counts = docs.select(F.explode(let(split_words(F.col(text).cast("string")), grams)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("k", F.length("gram") - F.length(F.translate("gram", " ", "")) + 1)
+    counts = counts.observe(seen, F.sum(F.when(F.col("k") == 1, F.col("c"))).alias("words"))
+    return materialise(counts.where(F.col("c") > 1), "lm-grams"), seen.get["words"] or 0
+
+
+def known_grams(counts: DataFrame, order: int, size: int | None) -> DataFrame:
+    """gram, c, and the counts cp, cs and cm of its prefix, suffix and middle. With a size, words below the smallest count that at most
+    `size` words reach, and n-grams with them, are left out (words of equal count are in or out together)."""
+    levels = [counts.where(F.col("k") == 1).select("gram", "c")]
+    if size is not None:
+        reached, cut = 0, None
+        for n, words in sorted(levels[0].groupBy("c").count().collect(), reverse=True):
+            reached += words
+            cut = n if reached <= size else cut
+        levels[0] = levels[0].where(F.col("c") >= cut if cut is not None else F.lit(False))
+    zero = F.lit(0).cast("long")
+    out = levels[0].select("gram", "c", zero.alias("cp"), zero.alias("cs"), zero.alias("cm"))
+    for k in range(2, order + 1):
+        parts = {"p": F.substring_index("gram", " ", k - 1), "s": F.substring_index("gram", " ", 1 - k), "m": F.substring_index(F.substring_index("gram", " ", k - 1), " ", 2 - k)}
+        own = counts.where(F.col("k") == k).select("gram", "c", *(x.alias(name) for name, x in parts.items()))
+        for name, level in (("p", levels[-1]), ("s", levels[-1]), *([("m", levels[-2])] if k > 2 else [])):
+            own = own.join(level.select(F.col("gram").alias(name), F.col("c").alias(f"c{name}")), name)
+        levels.append(own.select("gram", "c"))
+        out = out.union(own.select("gram", "c", "cp", "cs", F.col("cm") if k > 2 else zero.alias("cm")))
+    return out
+
+
+def document_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
+    """For each row of docs its distinct n-grams (k words, n times, their prefix, suffix and middle np, ns and nm times); and a row with k = 0, doc_id and
+    n_words, whose gram, a blank and the row's number, is no n-gram."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = {w: i for w, (i, _) in shared.value.items()}
-        counts = np.array([0, *(n for _, n in shared.value.values())], np.int64)
-        columns = ["row", "doc_id", "n_words", "backed", "base", "pair", "n", "nv", "nw"]
+    names = ["row", "doc_id", "n_words", "gram", "k", "n", "np", "ns", "nm"]
+
+    def flat(ids: pa.Array, texts: list[str | None], row: int) -> Iterator[pa.RecordBatch]:
+        split = [[w for w in SPLIT.split(t or "") if w] for t in texts]
+        sizes = np.array([len(x) for x in split], np.int64)
+        rows = row + np.arange(len(split))
+        none = pa.array(np.zeros(len(split), np.int32))
+        marks = pa.array([f" {r}" for r in rows], pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(rows), ids, pa.array(sizes), marks, none, none, none, none, none], names)
+        words = pa.array([w for x in split for w in x], pa.string())
+        if not len(words):
+            return
+        doc = np.repeat(np.arange(len(split)), sizes)
+        codes = words.dictionary_encode()
+        one = (doc * len(codes.dictionary)) + codes.indices.to_numpy(zero_copy_only=False)
+        levels = []
+        for k in range(1, order + 1):
+            at = np.arange(len(doc)) if k == 1 else np.flatnonzero(doc[: len(doc) - k + 1] == doc[k - 1 :])
+            if not len(at):
+                return
+            _, first, inverse, n = np.unique(one if k == 1 else levels[-1][0][at] * len(doc) + levels[0][0][at + k - 1], return_index=True, return_inverse=True, return_counts=True)
+            which = np.zeros(len(doc), np.int64)
+            which[at] = inverse
+            first = at[first]
+            levels.append((which, n))
+
+            def times(level: int, shift: int, first=first, zeros=np.zeros(len(first), np.int64)) -> pa.Array:
+                return pa.array((levels[level - 1][1][levels[level - 1][0][first + shift]] if level > 0 else zeros).astype(np.int32))
+
+            text = words.take(pa.array(first))
+            for j in range(1, k):
+                text = pc.binary_join_element_wise(text, words.take(pa.array(first + j)), " ")
+            same = pa.array(np.full(len(first), k, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[doc[first]]), pa.nulls(len(first), ids.type), pa.nulls(len(first), pa.int64()), text, same, pa.array(n.astype(np.int32)), times(k - 1, 0), times(k - 1, 1) if k > 1 else times(0, 0), times(k - 2, 1) if k > 2 else times(0, 0)], names)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out, chars = [], 0
-            for doc, t in zip(batch["doc_id"], batch["t"], strict=True):
-                if chars > BATCH_CHARS:
-                    yield pd.DataFrame(out, columns=columns)
-                    out, chars = [], 0
-                chars += len(t) if isinstance(t, str) else 0
-                words = [w for w in SPLIT.split(t if isinstance(t, str) else "") if w]
-                seq = np.array([ids.get(w, 0) for w in words], np.int64)
-                known, own = np.unique(seq[seq > 0], return_counts=True)
-                paired = (seq[:-1] > 0) & (seq[1:] > 0)
-                key, n = np.unique((seq[:-1] << 16 | seq[1:])[paired], return_counts=True)
-                alone = seq[:1].tolist() + seq[1:][~paired].tolist()
-                lone, times = np.unique([i for i in alone if i], return_counts=True)
-                lone = lone.astype(np.int64)
-                rest = np.maximum(1, counts[lone] - own[np.searchsorted(known, lone)]) if len(lone) else np.ones(0)
-                v, w = own[np.searchsorted(known, key >> 16)] if len(key) else n, own[np.searchsorted(known, key & 0xFFFF)] if len(key) else n
-                out.append((row, doc, len(words), len(alone), float(times @ np.log(rest)) if len(lone) else 0.0, key.astype(np.uint32).view(np.int32), n.astype(np.int32), v.astype(np.int32), w.astype(np.int32)))
-                row += 1
-            yield pd.DataFrame(out, columns=columns)
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            start = chars = 0
+            for i, t in enumerate(texts):
+                chars += len(t or "")
+                if chars > BATCH_CHARS or i == len(texts) - 1:
+                    yield from flat(ids.slice(start, i + 1 - start), texts[start : i + 1], row + start)
+                    start, chars = i + 1, 0
+            row += len(texts)
 
     rows = docs.select("doc_id", F.col(text).cast("string").alias("t"))
-    return materialise(rows.mapInPandas(pairs, f"row long, doc_id {kind}, n_words long, backed long, base double, pair array<int>, n array<int>, nv array<int>, nw array<int>"), "lm-pairs")
-
-
-def scores(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> DataFrame:
-    """doc_id, n_words, n_seen (words scored by a pair), log_score and mean_log_score, a row for each row of docs."""
-    words, total = vocabulary(docs, text, size)
-    own = document_pairs(docs, text, words)
-    pairs = own.select("row", F.inline(F.arrays_zip("pair", "n", "nv", "nw")))
-    table_ = pairs.groupBy("pair").agg(F.sum("n").alias("count")).where(F.col("count") > 1)
-    spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(i + 1, n) for i, (_, n) in enumerate(words)], "id int, total long"))
-    first, second = F.shiftrightunsigned("pair", 16), F.col("pair").bitwiseAND(F.lit(0xFFFF))
-    joined = pairs.join(table_, "pair", "left").select("row", "n", "nv", "nw", first.alias("v"), second.alias("w"), (F.coalesce("count", F.lit(0)) - F.col("n")).alias("left"))
-    joined = joined.join(known.select(F.col("id").alias("v"), F.col("total").alias("cv")), "v").join(known.select(F.col("id").alias("w"), F.col("total").alias("cw")), "w")
-    seen = F.col("left") > 0
-    term = F.when(seen, F.ln(F.col("left")) - F.ln(F.col("cv") - F.col("nv"))).otherwise(F.ln(F.greatest(F.lit(1), F.col("cw") - F.col("nw"))))
-    by = joined.groupBy("row").agg(F.sum(F.col("n") * term).alias("terms"), F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("seen"), F.sum(F.when(seen, 0).otherwise(F.col("n"))).alias("unseen"))
-    out = own.select("row", "doc_id", "n_words", "backed", "base").join(by, "row", "left").na.fill(0, ["terms", "seen", "unseen"])
+    return rows.mapInArrow(grams, f"row long, doc_id {kind}, n_words long, gram string, k int, n int, np int, ns int, nm int")
+
+
+def scores(docs: DataFrame, text: str = "text", size: int | None = None, order: int = ORDER) -> DataFrame:
+    """doc_id, n_words, n_seen (words scored by a pair or more), log_score and mean_log_score, a row for each row of docs."""
+    counts, total = gram_counts(docs, text, order)
+    joined = document_grams(docs, text, order).join(known_grams(counts, order, size), "gram", "left")
+    seen = (F.col("k") > 1) & (F.col("c") > F.col("n"))
+    gain = F.ln(F.col("c") - F.col("n")) - F.ln(F.col("cp") - F.col("np")) - F.ln(F.col("cs") - F.col("ns")) + F.when(F.col("k") > 2, F.ln(F.col("cm") - F.col("nm"))).otherwise(0)
+    term = F.when(seen, F.col("n") * gain).when(F.col("k") == 1, F.col("n") * F.ln(F.greatest(F.lit(1), F.col("c") - F.col("n")))).otherwise(0.0)
+    steps, pairs = F.when(seen, F.col("n")).otherwise(0), F.when(seen & (F.col("k") == 2), F.col("n")).otherwise(0)
+    by = joined.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(term).alias("terms"), F.sum(steps).alias("steps"), F.sum(pairs).alias("seen"))
     rest = F.greatest(F.lit(1), F.lit(total) - F.col("n_words")).cast("double")
-    log_score = F.col("terms") + F.col("base") + (F.col("backed") + F.col("unseen")) * (F.lit(math.log(ALPHA)) - F.ln(rest))
-    return out.select("doc_id", "n_words", F.col("seen").alias("n_seen"), F.round(log_score, 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(log_score / F.col("n_words"), 6)).alias("mean_log_score"))
+    back = (order - 1) * F.col("n_words") - F.col("steps")
+    log_score = F.col("terms") + back * F.lit(math.log(ALPHA)) - (F.col("n_words") - F.col("seen")) * F.ln(rest)
+    return by.select("doc_id", "n_words", F.col("seen").alias("n_seen"), F.round(log_score, 6).alias("log_score"), F.when(F.col("n_words") > 0, F.round(log_score / F.col("n_words"), 6)).alias("mean_log_score"))
 
 
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

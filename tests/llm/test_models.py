@@ -285,6 +285,32 @@ def test_scores_against_brute_force(spark, size):
     assert lm_scoring.scores(df.limit(0)).collect() == []
 
 
+def test_scores_count_every_word(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    got = lm_scoring.scores(spark.createDataFrame([(1, text), (2, text)], DOCS)).collect()
+    assert [(r["n_words"], r["n_seen"]) for r in got] == [(20_000, 19_999)] * 2
+
+
+def test_longer_histories_against_brute_force(spark):
+    texts = ["a b c d a b c", "a b c e", "b c d", "x b c d a", None, "a", "c c c c", "c c c"]
+    docs = [(t or "").split() for t in texts]
+    grams = [Counter(tuple(d[i : i + k]) for k in (1, 2, 3) for i in range(len(d) - k + 1)) for d in docs]
+    total = sum(grams, Counter())
+    got = {r["doc_id"]: r for r in lm_scoring.scores(spark.createDataFrame(list(enumerate(texts)), DOCS), order=3).collect()}
+    for i, (d, own) in enumerate(zip(docs, grams, strict=True)):
+        score = seen = 0
+        for at, w in enumerate(d):
+            for back in range(3):
+                g = tuple(d[at - 2 + back : at + 1]) if at >= 2 - back else ()
+                if len(g) > 1 and total[g] > own[g]:
+                    score += math.log((total[g] - own[g]) / (total[g[:-1]] - own[g[:-1]])) + back * math.log(0.4)
+                    seen += 1
+                    break
+            else:
+                score += 2 * math.log(0.4) + math.log(max(1, total[w,] - own[w,])) - math.log(max(1, sum(map(len, docs)) - len(d)))
+        assert (got[i]["n_words"], got[i]["n_seen"]) == (len(d), seen) and got[i]["log_score"] == pytest.approx(score, abs=2e-6)
+
+
 # --- archives
 
 
