@@ -4,10 +4,12 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
-from quantrel.llm import decontamination, quality_rules, simhash
+import corpus_pipeline
+from quantrel.llm import decontamination, near_copies, quality_rules, simhash
 
 DOCS = "doc_id long, text string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -76,6 +78,42 @@ def test_simhash_odd_tables(spark, monkeypatch):
     assert simhash.keep_one(mixed).where("coalesce(text, '') = ''").count() == 1
 
 
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = []
+    for base in range(25):
+        words = [f"b{base}x{j}" for j in range(60 + base)]
+        for copy in range(5):
+            own = words[: len(words) - 2 * copy]
+            for at in rng.integers(0, len(own), copy % 3):
+                own[at] = f"edit{base}x{copy}x{at}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (1003, "One  two"), (None, "one two")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min((i for (i, _), r in zip(rows, root, strict=True) if r == x and i is not None)) for x in set(root)}
+    df = spark.createDataFrame(rows, DOCS)
+    for cell in (2, 48):  # cells too large for pairs, and pairs, give the same groups
+        monkeypatch.setattr(near_copies, "CELL", cell)
+        assert {r.doc_id for r in near_copies.keep_one(df).collect()} == want
+    assert 25 < len(want) < 100 and len(want) < simhash.keep_one(df).count()
+    assert near_copies.keep_one(df.limit(0)).collect() == []
+
+
+def test_pipeline_drops_near_copies(spark):
+    words = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:40] + ["edited"] + words[41:]))]
+    assert [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()] == [1]
+
+
 def brute_hits(docs, items):
     def words(t):
         t = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
