@@ -8,8 +8,8 @@ calibrates it, and a URL is blocked where its probability of acceptance is under
 Both models are trained on URLs that rules decided: at most SAMPLE of each verdict, the smallest by hash of id and url
 (a documented bound; scores and counts cover every page).
 
-Defined cases: a null url, or one without `://`, has empty host and path, fits no rule and scores 0. URLs of any length are scored
-whole. Repeated rows are judged alike. Where either class has no examples, the method allows every URL. Extra columns are kept
+Defined cases: a null url, or one without `://`, has empty host and path and fits no rule; null and empty urls score 0. URLs of any length are
+scored whole, with scheme, query and fragment. Repeated rows are judged alike. Where either class has no examples, the method allows every URL. Extra columns are kept
 by with_verdict().
 """
 
@@ -132,7 +132,7 @@ def with_verdict(df: DataFrame, id_column: str = "page_id", url: str = "url", sa
     host, path = host_and_path(F.col(f"`{url}`"))
     judged = df.withColumn(n["host"], host).withColumn(n["path"], path)
     judged = judged.withColumn(n["rule"], best_rule(F.col(n["host"]), F.col(n["path"])))
-    text = F.concat(n["host"], n["path"])
+    text = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
 
     def examples(verdict: str) -> list[str]:
         own = judged.where(F.col(n["rule"])["verdict"] == verdict).select(text.alias("t"), F.xxhash64(f"`{id_column}`", f"`{url}`").alias("h"))

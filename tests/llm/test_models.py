@@ -164,6 +164,14 @@ def test_url_rules_and_scores(spark):
     assert {r["verdict"] for r in one_sided.collect()} == {"allow"}
 
 
+def test_urls_are_scored_whole(spark):
+    rows = [(i, f"http://a{i}.org/page?ref=news") for i in range(30)] + [(100 + i, f"http://b{i}.com/de/x?buy=pills") for i in range(30)]
+    asked = ["http://c.net/page?ref=news", "http://c.net/page?buy=pills", "ref=news", "buy=pills", None, ""]
+    df = spark.createDataFrame(rows + [(200 + i, u) for i, u in enumerate(asked)], "page_id long, url string")
+    got = {r["page_id"]: r["score"] for r in url_filters.with_verdict(df).where("page_id >= 200").collect()}
+    assert got[200] > got[201] and got[202] > 0 > got[203] and got[204] == got[205] == 0
+
+
 def test_markov_model():
     m = url_filters.MarkovModel(3)
     for t in ("abab", "abc"):
