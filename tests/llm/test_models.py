@@ -260,63 +260,68 @@ def test_masking(spark):
 # --- language-model scores
 
 
-def brute_scores(texts, size):
-    docs = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for t in texts]
-    count = Counter(w for d in docs for w in d)
-    cuts = [n for n in set(count.values()) if sum(c >= n for c in count.values()) <= size]
-    vocab = {w for w, c in count.items() if cuts and c >= min(cuts)}
-    pairs = [Counter((a, b) for a, b in zip(d, d[1:], strict=False) if a in vocab and b in vocab) for d in docs]
-    total = sum(pairs, Counter())
-    for d, p in zip(docs, pairs, strict=True):
-        own, score, seen = Counter(d), 0.0, 0
-        n = max(1, sum(count.values()) - len(d))
+def brute_scores(texts, corpus, order, least):
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+    model = [split(t) for t in corpus]
+    count = Counter(tuple(d[i : i + k]) for d in model for k in range(1, order + 1) for i in range(len(d) - k + 1))
+    total = max(1, sum(map(len, model)))
+    for d in map(split, texts):
+        score, seen = 0.0, 0
         for i, w in enumerate(d):
-            pair = (d[i - 1], w) if i else None
-            left = total[pair] - p[pair] if pair in p else 0
-            if left > 0:
-                score += math.log(left / (count[pair[0]] - own[pair[0]]))
-                seen += 1
+            longest = min(i, order - 1)
+            for h in range(longest, 0, -1):
+                g = tuple(d[i - h : i + 1])
+                if count[g] >= least:
+                    score += math.log(count[g] / count[g[:-1]]) + (longest - h) * math.log(0.4)
+                    seen += 1
+                    break
             else:
-                score += math.log(0.4) + math.log(max(1, count[w] - own[w]) if w in vocab else 1) - math.log(n)
+                score += math.log(max(1, count[w,]) / total) + longest * math.log(0.4)
         yield len(d), seen, score
 
 
-@pytest.mark.parametrize("size", [4, 1000])
-def test_scores_against_brute_force(spark, size):
-    texts = ["a b a b c", "a b c d", "b c d e f g", None, "", " \n", "a", "a b a b c", "zz " * 2000, "é ü é ü"]
-    df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)] + [(None, "a b", 1.0)], DOCS + ", n double")
-    got = {r["doc_id"]: r for r in lm_scoring.scores(df, size=size).collect()}
-    for i, (n, seen, score) in enumerate(brute_scores([*texts, "a b"], size)):
-        r = got[i if i < len(texts) else None]
+LM_TEXTS = ["a b a b c", "a b c d", "b c d e f g", None, "", " \n", "a", "a b a b c", "zz " * 2000, "é ü é ü", "a b c e", "\x0ba\tb\x1fc\x85d", "x" * 300, "b c d a b c d"]
+
+
+def close(got, want):
+    for r, (n, seen, score) in zip(got, want, strict=True):
         assert (r["n_words"], r["n_seen"]) == (n, seen) and r["log_score"] == pytest.approx(score, abs=2e-6)
         assert r["mean_log_score"] is None if n == 0 else r["mean_log_score"] == pytest.approx(score / n, abs=2e-6)
-    assert lm_scoring.scores(df.limit(0)).collect() == []
-
-
-def test_scores_count_every_word(spark):
-    text = " ".join(f"w{i}" for i in range(20_000))
-    got = lm_scoring.scores(spark.createDataFrame([(1, text), (2, text)], DOCS)).collect()
-    assert [(r["n_words"], r["n_seen"]) for r in got] == [(20_000, 19_999)] * 2
-
-
-def test_longer_histories_against_brute_force(spark):
-    texts = ["a b c d a b c", "a b c e", "b c d", "x b c d a", None, "a", "c c c c", "c c c"]
-    docs = [(t or "").split() for t in texts]
-    grams = [Counter(tuple(d[i : i + k]) for k in (1, 2, 3) for i in range(len(d) - k + 1)) for d in docs]
-    total = sum(grams, Counter())
-    got = {r["doc_id"]: r for r in lm_scoring.scores(spark.createDataFrame(list(enumerate(texts)), DOCS), order=3).collect()}
-    for i, (d, own) in enumerate(zip(docs, grams, strict=True)):
-        score = seen = 0
-        for at, w in enumerate(d):
-            for back in range(3):
-                g = tuple(d[at - 2 + back : at + 1]) if at >= 2 - back else ()
-                if len(g) > 1 and total[g] > own[g]:
-                    score += math.log((total[g] - own[g]) / (total[g[:-1]] - own[g[:-1]])) + back * math.log(0.4)
-                    seen += 1
-                    break
-            else:
-                score += 2 * math.log(0.4) + math.log(max(1, total[w,] - own[w,])) - math.log(max(1, sum(map(len, docs)) - len(d)))
-        assert (got[i]["n_words"], got[i]["n_seen"]) == (len(d), seen) and got[i]["log_score"] == pytest.approx(score, abs=2e-6)
+
+
+@pytest.mark.parametrize(("order", "least", "block", "bucket"), [(3, 2, 16 << 20, 8 << 20), (3, 1, 40, 200), (2, 2, 1, 50), (1, 1, 100, 100), (4, 3, 20, 1000)])
+def test_scores_against_brute_force(spark, order, least, block, bucket):
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(LM_TEXTS)] + [(99, "a b", 1.0)], DOCS + ", `block` double")
+    got = lm_scoring.scores(df, order=order, least=least, block_bytes=block, bucket_bytes=bucket).orderBy("doc_id").collect()
+    close(got, brute_scores([*LM_TEXTS, "a b"], [*LM_TEXTS, "a b"], order, least))
+    assert lm_scoring.scores(df.limit(0), order=order).collect() == []
+
+
+def test_scores_by_another_corpus(spark):
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(LM_TEXTS)], "Name string, Body string")
+    corpus = ["a b c d e", "a b c d", "c d c d c d", None, "é ü"]
+    model = spark.createDataFrame([(f"m{i}", t, 3) for i, t in enumerate(corpus)], "Name string, Body string, bucket int")
+    got = {r["doc_id"]: r for r in lm_scoring.scores(docs, model, "Body", "Name").collect()}
+    close([got[f"d{i}"] for i in range(len(LM_TEXTS))], brute_scores(LM_TEXTS, corpus, 3, 2))
+    got = {r["doc_id"]: r for r in lm_scoring.scores(docs, model.limit(0), "Body", "Name", least=1).collect()}
+    close([got[f"d{i}"] for i in range(len(LM_TEXTS))], brute_scores(LM_TEXTS, [], 3, 1))
+
+
+def test_scores_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(1, long), (2, long), (None, "a b"), (None, "a b"), (3, "a b"), (3, "c")]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_seen"]) for r in lm_scoring.scores(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [("1", 20_000, 19_999), ("2", 20_000, 19_999), ("3", 1, 0), ("3", 2, 1), ("None", 2, 1), ("None", 2, 1)]
+
+
+def test_word_hashes():
+    data = "one two\tone  ünï\n\x0bone".encode()
+    starts, hashes = lm_scoring.words_of(data)
+    for n in (1, 3, 5, 100):
+        assert [x.tolist() for x in lm_scoring.words_of(data, n)] == [starts.tolist(), hashes.tolist()]
+    assert starts.tolist() == [0, 4, 8, 13, 20] and hashes[0] == hashes[2] == hashes[4] and len(set(hashes.tolist())) == 3
+    many = [f"{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in range(500)]
+    assert len(set(lm_scoring.words_of(" ".join(many).encode())[1].tolist())) == len(many)
 
 
 # --- archives
