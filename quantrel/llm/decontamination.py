@@ -7,8 +7,9 @@ shares with an item has the same grams, hence the same kept hash at the same pla
 shared window meets in the join of the kept hashes. Each meeting is then extended to the whole window,
 word by word, so no hash collision can report a hit. Short items are met by a gram of their own length.
 
-Document hashes meet the benchmark's by a broadcast join while those number at most BROADCAST_ROWS
-(a bound that is counted); beyond it by a shuffled join that carries only the words around each kept gram.
+A kept gram that passes a bit table of the benchmark's hashes goes on with the words around it alone, so the work grows with the text and not with its square. The benchmark's
+table is broadcast while it has at most BROADCAST_ROWS rows (counted before); beyond that the same rows meet it in a shuffled
+join, in which each row's marker is spread by the hash of its key.
 
 Defined cases: null and empty texts have no words and no hits. Repeated rows each get their own row. Null
 ids are kept as ids; items with null id count as no item in n_items. An empty benchmark hits nothing.
@@ -17,6 +18,9 @@ Extra columns, whatever their names, pass through drop_contaminated().
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from .common import let, lower_ascii, materialise, reserve, split_words, table,
 
 WINDOW, GRAM = 10, 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Longs of the bit table of benchmark hashes that grams are tried against first.
+FILTER_WORDS = 4096
 #: Rows of the benchmark's fingerprint table that may be broadcast (about 150 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -62,25 +68,40 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return spread.select(F.col("g.h").alias("h"), F.col("g.p").alias("q"), F.size("b").alias("size"), F.concat_ws(" ", "b").alias("body"), F.xxhash64("items").alias("set_id"), "items")
 
 
+def hash_filter(windows: DataFrame) -> Callable[[Column], Column]:
+    """A test that every hash of the benchmark passes, and few others while it has fewer rows than the filter bits: FILTER_WORDS longs, whatever the benchmark."""
+    word, bit = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), lambda h: h.bitwiseAND(F.lit(63)).cast("int")
+    set_ = windows.groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias("bits")).collect()
+    bits = [0] * FILTER_WORDS
+    for r in set_:
+        bits[r["word"]] = r["bits"]
+    table_ = F.lit(np.array(bits, np.int64))
+    return lambda h: F.call_function("shiftright", F.get(table_, word(h)), bit(h)).bitwiseAND(F.lit(1)) == 1
+
+
 def hits(docs: DataFrame, key: list[str], text: str, windows: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """For each distinct key: mult (rows), n_words, spans (array of start * 16 + size), sets (item sets met)."""
-    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
+    sizes, maybe = sorted(r[0] for r in windows.select("size").distinct().collect()), hash_filter(windows)
     rows = docs.select(*key, words_of(F.col(text)).alias("w")).withColumn("n", F.size("w"))
     w = F.col("w")
-    grams = [kept_grams(w) if s == WINDOW else short_grams(w, s) for s in sizes]
-    marker = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("p")))
-    rows = rows.select(*key, "w", "n", F.explode(F.concat(marker, *grams)).alias("g")).select(*key, "w", "n", F.col("g.h").alias("h"), F.col("g.p").alias("p"))
-    table_, offset = windows.select(F.col("h").alias("bh"), "q", "size", "body", "set_id"), F.lit(0)
+    def around(size: int) -> Column:
+        """The kept grams that the filter lets through, each with the words that a window over it can hold."""
+        grams, before, after = (kept_grams(w), WINDOW - GRAM, WINDOW) if size == WINDOW else (short_grams(w, size), 0, size)
+        first = lambda p: F.greatest(p - before, F.lit(0))
+        return F.transform(F.filter(grams, lambda g: maybe(g["h"])), lambda g: F.struct(g["h"].alias("h"), g["p"].alias("p"), first(g["p"]).alias("f"), F.slice(w, first(g["p"]) + 1, before + after).alias("c")))
+
+    none = F.array().cast("array<struct<h:bigint,p:int,f:int,c:array<string>>>")
+    marker = F.array(F.struct(F.xxhash64(*key).alias("h"), F.lit(-1).alias("p"), F.lit(0).alias("f"), F.array().cast("array<string>").alias("c")))
+    rows = rows.select(*key, "n", F.explode(F.concat(marker, none, *map(around, sizes))).alias("g")).select(*key, "n", "g.h", "g.p", "g.f", "g.c")
+    table_ = windows.select(F.col("h").alias("bh"), "q", "size", "body", "set_id")
     if windows.count() <= broadcast_rows:
         table_ = F.broadcast(table_)
-    else:
-        offset = F.greatest(F.col("p") - WINDOW, F.lit(0))
-        rows = rows.select(*key, "n", "h", "p", F.slice("w", offset + 1, 2 * WINDOW).alias("w"))
     start = F.col("p") - F.col("q")
     met = rows.join(table_, F.col("h") == F.col("bh"), "left")
-    true = (start >= 0) & (F.concat_ws(" ", F.slice("w", F.greatest(start - offset, F.lit(0)) + 1, F.col("size"))) == F.col("body"))
-    met = met.select(*key, "n", "p", F.when(true, start * 16 + F.col("size")).alias("span"), F.when(true, F.col("set_id")).alias("set_id")).where((F.col("p") == -1) | F.col("span").isNotNull())
-    return met.groupBy(*key).agg(F.sum((F.col("p") == -1).cast("long")).alias("mult"), F.max("n").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("set_id").alias("sets"))
+    true = (start >= 0) & (F.concat_ws(" ", F.slice("c", F.greatest(start - F.col("f"), F.lit(0)) + 1, F.col("size"))) == F.col("body"))
+    met = met.select(*key, "n", "p", F.when(true, start * 16 + F.col("size")).alias("span"), F.when(true, F.col("set_id")).alias("set_id"), (F.col("p") == -1).alias("marker"))
+    met = met.where(F.col("marker") | F.col("span").isNotNull())
+    return met.groupBy(*key).agg(F.sum(F.col("marker").cast("long")).alias("mult"), F.max("n").alias("n_words"), F.collect_set("span").alias("spans"), F.collect_set("set_id").alias("sets"))
 
 
 def covered(spans: Column) -> Column:
