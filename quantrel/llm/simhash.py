@@ -7,10 +7,10 @@ bands of bits cannot all differ within RADIUS = 2, in one band at least the dist
 references, taken over that band alone, agree. So pairs are met by an equality join on a band's coordinates,
 pairs whose largest coordinate difference exceeds RADIUS are discarded, and survivors are verified by bit_count.
 
-A cell (equal band coordinates) of over CELL fingerprints is not paired: its members go through the
-one-bit neighbourhoods, where two fingerprints within two bits, and no others, share a neighbour. A
-neighbour has at most 65 members, which are linked to their smallest: the same components from rows in
-proportion to the members. Copies share a fingerprint and are never expanded to pairs.
+A cell (equal band coordinates) of over CELL fingerprints is dealt anew: the bits outside its bands fall into three bands
+again, of which a linked pair agrees in one, and its members meet by the references' distances over that band besides. Each round
+leaves two thirds of the bits open (43, 29, 19, 13, 9, 6), so what can be in one cell shrinks to some dozens of fingerprints, and all
+cells of the last round are paired. Copies share a fingerprint and are never expanded to pairs.
 
 Defined cases: null and empty texts, and texts of blanks, have fingerprint zero, which links like any other. Repeated
 rows (and ids) each keep their row. A component whose ids are all null has a null component_id. An
@@ -28,10 +28,9 @@ from .common import let, lower_ascii, materialise, reserve, split_words, table,
 from .components import components
 
 SHINGLE, RADIUS = 3, 2
-BANDS = (0x3FFFFF, 0x7FFFFC00000, 0xFFFFF80000000000)
 PIVOTS, BAND_PIVOTS = 16, 10
-#: Cells of at most so many fingerprints are paired; larger ones take the one-bit neighbourhoods.
-CELL = 48
+#: Cells of at most so many fingerprints are paired; larger ones are dealt to further bands, at most MAX_DEPTH times.
+CELL, MAX_DEPTH = 48, 5
 
 
 def signed(x: int) -> int:
@@ -80,31 +79,61 @@ def distance_table(prints: DataFrame) -> DataFrame:
     return prints.select("fp", *(F.bit_count(F.col("fp").bitwiseXOR(long(pivot(i)))).cast("byte").alias(f"d{i}") for i in range(PIVOTS)))
 
 
-def cells(distances: DataFrame) -> DataFrame:
-    """A row for each fingerprint and band; cell: the band's distances to its references, six bits each."""
+def parts_of(open_bits: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """Three nearly equal runs of the bits that no band has settled."""
+    n = len(open_bits)
+    return [open_bits[i * n // 3 : (i + 1) * n // 3] for i in range(3)]
 
-    def cell(band: int) -> Column:
-        within = F.col("fp").bitwiseAND(long(signed(BANDS[band])))
-        parts = [F.shiftleft(F.bit_count(within.bitwiseXOR(long(signed(pivot(PIVOTS + i) & BANDS[band])))).cast("long"), 6 * i) for i in range(BAND_PIVOTS)]
-        return F.struct(F.lit(band).alias("band"), reduce(Column.bitwiseOR, parts).alias("cell"))
 
-    return distances.select("*", F.explode(F.array(*map(cell, range(len(BANDS))))).alias("c")).select(*distances.columns, "c.band", "c.cell")
+def band_cell(bits: tuple[int, ...]) -> Column:
+    """The distances over these bits to their references, six bits each."""
+    mask = sum(1 << b for b in bits)
+    within = F.col("fp").bitwiseAND(long(signed(mask)))
+    distances = [F.shiftleft(F.bit_count(within.bitwiseXOR(long(signed(pivot(PIVOTS + i) & mask)))).cast("long"), 6 * i) for i in range(BAND_PIVOTS)]
+    return reduce(Column.bitwiseOR, distances)
 
 
-def link_table(prints: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct fingerprints within RADIUS."""
-    placed = materialise(cells(distance_table(prints)), "simhash-cells")
-    sizes = placed.groupBy("band", "cell").agg(F.count("fp").alias("members")).where(F.col("members") > 1)
-    sized = materialise(placed.join(sizes, ["band", "cell"]), "simhash-sized")
-    light, heavy = sized.where(F.col("members") <= CELL).drop("members"), sized.where(F.col("members") > CELL).select("fp").distinct()
-    a, b = light.alias("a"), light.alias("b")
+def dealt(rows: DataFrame, depth: int) -> DataFrame:
+    """Rows of (fp, d0.., band, cell) dealt to the three bands of the bits that are open after `depth` rounds: band is the path of bands, cell a
+    hash of the cells along it."""
+
+    def at(path: tuple[int, ...], open_bits: tuple[int, ...]) -> list[tuple[tuple[int, ...], list[tuple[int, ...]]]]:
+        parts = parts_of(open_bits)
+        if len(path) == depth:
+            return [(path, parts)]
+        return [x for i in range(3) for x in at((*path, i), tuple(b for b in open_bits if b not in parts[i]))]
+
+    columns = [c for c in rows.columns if c not in ("band", "cell")]
+    keys = F
+    for path, parts in at((), tuple(range(64))):
+        own = F.array(*(F.struct(F.lit("".join(map(str, (*path, i)))).alias("band"), (F.xxhash64("cell", band_cell(p)) if depth else band_cell(p)).alias("cell")) for i, p in enumerate(parts)))
+        keys = keys.when(F.col("band") == "".join(map(str, path)), own)
+    return rows.select(*columns, F.explode(keys).alias("c")).select(*columns, "c.band", "c.cell")
+
+
+def paired(cell_rows: DataFrame) -> DataFrame:
+    """Links among the members of each cell: coordinates discard, bit_count verifies."""
+    a, b = cell_rows.alias("a"), cell_rows.alias("b")
     near = (F.col("a.band") == F.col("b.band")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))
     largest = F.greatest(*(F.abs(F.col(f"a.d{i}").cast("int") - F.col(f"b.d{i}").cast("int")) for i in range(PIVOTS)))
-    pairs = a.join(b, near & (largest <= RADIUS) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    flips = [F.col("fp"), *(F.col("fp").bitwiseXOR(long(signed(1 << k))) for k in range(64))]
-    shared = heavy.select("fp", F.explode(F.array(*flips)).alias("v")).groupBy("v").agg(F.collect_set("fp").alias("s")).where(F.size("s") > 1)
-    stars = shared.select(F.array_min("s").alias("a"), F.explode("s").alias("b")).where(F.col("a") != F.col("b"))
-    return pairs.union(stars).distinct()
+    return a.join(b, near & (largest <= RADIUS) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+
+
+def link_table(prints: DataFrame) -> DataFrame:
+    """Links (a, b): all pairs of distinct fingerprints within RADIUS."""
+    links = None
+    rows = distance_table(prints).withColumns({"band": F.lit(""), "cell": F.lit(0).cast("long")})
+    for depth in range(MAX_DEPTH + 1):
+        placed = dealt(rows, depth)
+        sizes = placed.groupBy("band", "cell").agg(F.count("fp").alias("members")).where(F.col("members") > 1)
+        sized = materialise(placed.join(sizes, ["band", "cell"]), "simhash-sized")
+        small = F.col("members") <= CELL if depth < MAX_DEPTH else F.lit(True)
+        found = paired(sized.where(small).drop("members"))
+        links = found if links is None else links.union(found)
+        rows = sized.where(~small).drop("members")
+        if depth == MAX_DEPTH or rows.isEmpty():
+            break
+    return links.distinct()
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -58,12 +58,25 @@ def test_simhash_against_brute_force(spark, monkeypatch):
     rows = [(i, near(i)) for i in range(150)] + [(200 + i, " ".join(WORDS[(i * 7 + j * (i + 1)) % 400] for j in range(30 + i))) for i in range(60)]
     rows += [(300, None), (301, ""), (302, " \t\n"), (303, "one"), (304, "One two"), (305, "ÀB ÀB àb"), (306, LONG), (307, LONG), (308, LONG + " tail")]
     want = brute_components(rows)
-    for cell in (2, 48):  # neighbourhoods and pairs give the same components
+    for cell, depth in ((0, 2), (4, 1), (48, 5)):  # cells that are dealt anew and cells that are paired at once give the same components
         monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "MAX_DEPTH", depth)
         assert {tuple(r) for r in op10(spark, rows, monkeypatch).collect()} == want
     assert len({c for _, _, c in want}) < len(rows) - 20
 
 
+def test_bands_keep_every_linked_pair():
+    """On some path of bands, each round's band is free of any two given bits."""
+    rng = np.random.default_rng(5)
+
+    def met(open_bits, differing, depth):
+        parts = simhash.parts_of(open_bits)
+        assert sorted(b for p in parts for b in p) == sorted(open_bits)
+        return depth == 0 or any(not differing & set(p) and met(tuple(b for b in open_bits if b not in p), differing, depth - 1) for p in parts)
+
+    assert all(met(tuple(range(64)), set(rng.choice(64, 2, replace=False).tolist()), simhash.MAX_DEPTH + 1) for _ in range(300))
+
+
 def test_simhash_odd_tables(spark, monkeypatch):
     assert op10(spark, [], monkeypatch).collect() == []
     rows = [(1, PROSE), (1, PROSE), (None, PROSE), (2, "other words here")]
@@ -177,6 +190,16 @@ def test_quality_against_brute_force(spark):
     assert {i for i, v in got.items() if v[-1]} == {3, 6, 12}
 
 
+def test_slow_rules_rank_below_fast_ones(spark):
+    df = spark.createDataFrame([(i, PROSE * 20) for i in range(400)], DOCS)
+    slow = quality_rules.Rule("slow", lambda f: f.n_repeat_words >= 0)
+    fast = quality_rules.Rule("fast", lambda f: f.n_words >= 0)
+    idle = quality_rules.Rule("idle", lambda f: f.n_words < 0)
+    steps = quality_rules.plan(df, "text", (slow, idle, fast))
+    assert [s["rule"].name for s in steps] == ["fast", "slow", "idle"] and [s["rejection"] for s in steps] == [1, 1, 0]
+    assert steps[0]["cost"] < steps[1]["cost"]
+
+
 def test_cascade_order_changes_no_verdict(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([None, PROSE, PROSE.upper(), "Short text.", "| a | b " * 60])], DOCS + ", `w` int")
     kept = {r.doc_id for r in quality_rules.filter_documents(df).collect()}
