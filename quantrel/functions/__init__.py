@@ -24,6 +24,21 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
 
 
+def hashed_uniform(*keys: Column) -> Column:
+    """A uniform in [0, 1) from the MD5 of the keys joined by colons: 48 bits, the same in every engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(k.cast("string") for k in keys)).cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def box_muller(u1: Column, u2: Column) -> Column:
+    """A standard normal from two uniforms."""
+    return F.sqrt(-2 * F.ln(1 - u1)) * F.cos(2 * math.pi * u2)
+
+
+def is_finite(x: Column) -> Column:
+    """False for null, NaN and the infinities."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+
+
 # --- stable primitives and activations
 
 

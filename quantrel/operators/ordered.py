@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +42,21 @@ def running_totals(df: DataFrame, key: str, sums: dict[str, str | Column], desce
 def numbered(df: DataFrame, key: str, out: str = "rn", ties: tuple[str, ...] = ()) -> DataFrame:
     """Adds row numbers from 1 in the global order of key (and ties)."""
     return running_totals(df, key, {out: F.lit(1).cast("long")}, ties=ties)
+
+
+def running_minimum(df: DataFrame, key: str, x: str, out: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the least x of all rows up to and with each, in the order of key (and ties): within range buckets, then from the buckets before."""
+    cut = bucketed(df, key)
+    local = Window.partitionBy("__bucket").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    lows = cut.groupBy("__bucket").agg(F.min(x).alias("__low")).select("__bucket", F.min("__low").over(ahead).alias("__low"))
+    return cut.withColumn("__own", F.min(x).over(local)).join(F.broadcast(lows), "__bucket").select(*df.columns, F.least("__own", "__low").alias(out))
+
+
+def exponential_moving(df: DataFrame, by: str, order: tuple[str, ...], x: str, momentum: float, out: str) -> DataFrame:
+    """Adds m_t = momentum * m_(t-1) + (1 - momentum) * x_t from m_0 = 0. Rows whose weight is under 1e-17 are not looked at, so the frame is
+    bounded however long a series is."""
+    reach = math.ceil(math.log(1e-17) / math.log(momentum))
+    frame = Window.partitionBy(by).orderBy(*order).rowsBetween(-reach, 0)
+    last = F.collect_list(F.col(x).cast("double")).over(frame)
+    return df.withColumn("__w", last).withColumn(out, F.aggregate("__w", F.lit(0.0), lambda m, v: m * momentum + v * (1 - momentum))).drop("__w")

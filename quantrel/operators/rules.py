@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from quantrel import functions as fn
 from .storage import cut
 
 
-def frequent_itemsets(baskets: DataFrame, basket: str, item: str, min_support: float, levels: int = 3) -> DataFrame:
-    """items (sorted array), size, n, support >= min_support (inclusive).
+def frequent_itemsets(baskets: DataFrame, basket: str, item: str, min_support: float, levels: int | None = None) -> DataFrame:
+    """items (sorted array), size, n, support >= min_support (inclusive), of any size: levels go on until one is empty, or up to `levels` where that is given.
 
     A level's candidates come from frequent sets that share all but their last item, pruned by an all-subsets check. The sets that a
     basket holds grow from those it held a level before by one item of its own, so the rows follow what occurs in baskets.
@@ -24,7 +25,9 @@ def frequent_itemsets(baskets: DataFrame, basket: str, item: str, min_support: f
     found = cut(pairs.groupBy(F.array("i").alias("items")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= floor))
     held = cut(pairs.join(found.select(F.col("items")[0].alias("i")), "i"))
     within, out = held.select("b", F.array("i").alias("items")), [found]
-    for k in range(2, levels + 1):
+    for k in count(2):
+        if levels is not None and k > levels:
+            break
         head = lambda d, s: d.select(F.slice("items", 1, k - 2).alias("head"), F.element_at("items", -1).alias(s), F.col("items").alias(f"all_{s}"))
         joined = head(found, "x").join(head(found, "y"), "head").where("x < y").select(F.concat("all_x", F.array("y")).alias("items"))
         subsets = joined.select("items", F.explode(F.transform("items", lambda i: F.array_remove("items", i))).alias("sub"))

@@ -101,30 +101,35 @@ def two_sided(t: float, df: float) -> float:
 
 
 def permutation_test(df: DataFrame, x: str, in_a: Column, key: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """p of |mean_a - mean_b| over `rounds` relabellings.
+    """p of |mean_a - mean_b| over `rounds` relabellings that keep the groups' sizes: in each round the rows of the smallest hashes of (round, key) are group a.
 
-    Labels are dealt by a hash of (round, key): each round keeps, in expectation, the sizes of the groups. A row makes its
-    `rounds` contributions in one pass, summed before any shuffle.
+    The cut of a round is its n_a-th smallest hash, found exactly by a percentile of the round's hashes; no round is sorted in one task.
     """
     rows = df.select(F.col(x).cast("double").alias("v"), in_a.cast("int").alias("a"), F.col(key).alias("k"))
-    seen = rows.agg(F.avg(F.when(F.col("a") == 1, F.col("v"))).alias("ma"), F.avg(F.when(F.col("a") == 0, F.col("v"))).alias("mb"), F.avg("a").alias("share"))
-    dealt = rows.join(F.broadcast(seen.select("share"))).select("v", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), "k", "share")
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "round", "k"), 11).cast("double") / F.lit(float(1 << 53))
-    dealt = dealt.withColumn("one", u < F.col("share"))
-    gaps = dealt.groupBy("round").agg((F.avg(F.when(F.col("one"), F.col("v"))) - F.avg(F.when(~F.col("one"), F.col("v")))).alias("gap"))
-    return gaps.join(F.broadcast(seen)).agg(((F.count_if(F.abs("gap") >= F.abs(F.col("ma") - F.col("mb"))) + 1) / (F.count("gap") + 1)).alias("p"), F.max(F.col("ma") - F.col("mb")).alias("observed"))
+    seen = rows.agg(F.avg(F.when(F.col("a") == 1, F.col("v"))).alias("ma"), F.avg(F.when(F.col("a") == 0, F.col("v"))).alias("mb"), F.sum("a").alias("na"), F.count("a").alias("n")).first()
+    if not seen["na"] or seen["na"] == seen["n"]:
+        return df.sparkSession.createDataFrame([(None, None)], "p double, observed double")
+    dealt = rows.select("v", "k", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", fn.hashed_uniform(F.lit(seed), F.col("round"), F.col("k")))
+    cuts = dealt.groupBy("round").agg(F.percentile("u", F.lit((seen["na"] - 0.5) / (seen["n"] - 1))).alias("cut"))
+    gaps = dealt.join(F.broadcast(cuts), "round").groupBy("round").agg((F.avg(F.when(F.col("u") < F.col("cut"), F.col("v"))) - F.avg(F.when(F.col("u") >= F.col("cut"), F.col("v")))).alias("gap"))
+    observed = seen["ma"] - seen["mb"]
+    return gaps.agg(((F.count_if(F.abs("gap") >= F.lit(abs(observed))) + 1) / (F.count("gap") + 1)).alias("p"), F.lit(observed).alias("observed"))
+
+
+def bootstrap(df: DataFrame, statistic: Column, key: str, rounds: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """estimate, se, low, high of any aggregate `statistic` that weighs rows by their column w (copies in a replicate, Poisson(1) by hash of round and key):
+    percentile interval over `rounds` replicates; what leaves a task is each replicate's partial sums."""
+    weight = F.lit(0)
+    for k in range(8):
+        weight = weight + (F.col("u") >= F.lit(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)))).cast("int")
+    dealt = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("u", fn.hashed_uniform(F.lit(seed), F.col("round"), F.col(key))).withColumn("w", weight)
+    each = dealt.groupBy("round").agg(statistic.alias("s"))
+    return each.agg(F.avg("s").alias("mean"), F.stddev_samp("s").alias("se"), F.percentile("s", F.lit(alpha / 2)).alias("low"), F.percentile("s", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def bootstrap_mean(df: DataFrame, x: str, key: str, rounds: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """Percentile interval of the mean by Poisson(1) weights that hash (round, key): no row is sent to a replicate's task, only its sums."""
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "round", key), 11).cast("double") / F.lit(float(1 << 53))
-    total, weight = 0.0, F.lit(0)
-    for k in range(9):
-        total += math.exp(-1) / math.factorial(k)
-        weight = weight + (u >= total).cast("int")
-    dealt = df.select(F.col(x).cast("double").alias("v"), key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight)
-    means = dealt.groupBy("round").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean"))
-    return means.agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("se"), F.percentile("mean", F.lit(alpha / 2)).alias("low"), F.percentile("mean", F.lit(1 - alpha / 2)).alias("high"))
+    v = F.col(x).cast("double")
+    return bootstrap(df, F.sum(F.col("w") * v) / F.sum("w"), key, rounds, alpha, seed)
 
 
 def mcnemar(df: DataFrame, right_a: Column, right_b: Column) -> DataFrame:
@@ -151,3 +156,67 @@ def corrections(df: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFra
     rest = order.rowsBetween(0, Window.unboundedFollowing)
     before = order.rowsBetween(Window.unboundedPreceding, 0)
     return ranked.select(key, p, (F.col(p) <= F.lit(alpha) / F.col("m")).alias("bonferroni"), F.min("holm_ok").over(before).alias("holm"), F.max("bh_ok").over(rest).alias("benjamini_hochberg"))
+
+
+def quantile_edges(df: DataFrame, x: str, bins: int, *by: str) -> DataFrame:
+    """by, edges: the exact inner quantiles (linear between order statistics)."""
+    return df.groupBy(*by).agg(F.percentile(x, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
+
+
+def quantile_bins(df: DataFrame, x: str, bins: int, *by: str, out: str = "bin") -> DataFrame:
+    """Adds the number of edges at or below x, from 0: edges are one row a group and joined back."""
+    edges = quantile_edges(df, x, bins, *by)
+    joined = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))
+    return joined.withColumn(out, F.size(F.filter("edges", lambda e: e <= F.col(x)))).drop("edges")
+
+
+def histogram_2d(df: DataFrame, x: str, y: str, x_bins: tuple[float, float, int], y_bins: tuple[float, float, int]) -> DataFrame:
+    """bx, by, n for equal-width bins (low, high, bins); the last bin holds its upper edge, values outside are left out."""
+    place = lambda c, b: F.least(F.floor((F.col(c) - b[0]) / ((b[1] - b[0]) / b[2])), F.lit(b[2] - 1)).cast("long")
+    rows = df.where(F.col(x).between(*x_bins[:2]) & F.col(y).between(*y_bins[:2]))
+    return rows.groupBy(place(x, x_bins).alias("bx"), place(y, y_bins).alias("by")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def posterior_of_test(prevalence: Column, sensitivity: Column, specificity: Column) -> list[Column]:
+    """Posterior of a positive test, with what explains it."""
+    tp, fp = sensitivity * prevalence, (1 - specificity) * (1 - prevalence)
+    named = {"posterior": tp / (tp + fp), "p_positive": tp + fp, "false_to_true_ratio": fp / tp, "likelihood_ratio": sensitivity / (1 - specificity), "prior_odds": prevalence / (1 - prevalence)}
+    return [v.alias(k) for k, v in named.items()]
+
+
+def fisher_information(df: DataFrame, success: Column, x: str, *by: str) -> DataFrame:
+    """by, bernoulli (1 / (p (1 - p))) and gaussian_mean (1 / variance), each for one row, and n."""
+    p, v = F.avg(success.cast("double")), F.var_pop(x)
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), fn.ratio(F.lit(1.0), p * (1 - p)).alias("bernoulli"), fn.ratio(F.lit(1.0), v).alias("gaussian_mean"))
+
+
+def measure_estimators(samples: DataFrame, trial: str, estimators: dict[str, Column], truth: float) -> DataFrame:
+    """estimator, bias, variance (over trials, ddof 0) and mse of aggregates that are evaluated once for each trial's rows."""
+    each = samples.groupBy(trial).agg(*(e.cast("double").alias(k) for k, e in estimators.items()))
+    long = each.select(F.explode(F.array(*(F.struct(F.lit(k).alias("estimator"), F.col(k).alias("v")) for k in estimators))).alias("x")).select("x.*")
+    return long.groupBy("estimator").agg((F.avg("v") - truth).alias("bias"), F.var_pop("v").alias("variance"), F.avg(F.pow(F.col("v") - truth, F.lit(2))).alias("mse"))
+
+
+def welch_by_group(df: DataFrame, x: str, in_a: Column, in_b: Column, *by: str) -> DataFrame:
+    """by, t, df: Welch's test of every group in one aggregate."""
+    part = lambda c: (F.count_if(c), F.avg(F.when(c, F.col(x))), F.var_samp(F.when(c, F.col(x))))
+    (na, ma, va), (nb, mb, vb) = part(in_a), part(in_b)
+    r = df.groupBy(*by).agg(na.alias("na"), ma.alias("ma"), (va / na).alias("ea"), nb.alias("nb"), mb.alias("mb"), (vb / nb).alias("eb"))
+    e = F.col("ea") + F.col("eb")
+    return r.select(*by, ((F.col("ma") - F.col("mb")) / F.sqrt(e)).alias("t"), (e * e / (F.col("ea") * F.col("ea") / (F.col("na") - 1) + F.col("eb") * F.col("eb") / (F.col("nb") - 1))).alias("df"))
+
+
+def bias_variance(samples: DataFrame, dataset: str, x: str, y: str, grid: DataFrame, truth: Column, noise: float) -> DataFrame:
+    """x, bias2, variance, total: a straight line fitted to each dataset in one aggregate, judged on grid (x) against truth(x)."""
+    fits = samples.groupBy(dataset).agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
+    at = fits.join(F.broadcast(grid)).withColumn("p", F.col("a") + F.col("b") * F.col(x)).withColumn("f", truth)
+    r = at.groupBy(x).agg(F.pow(F.avg("p") - F.max("f"), F.lit(2)).alias("bias2"), F.var_pop("p").alias("variance"))
+    return r.select(x, "bias2", "variance", (F.col("bias2") + F.col("variance") + noise * noise).alias("total"))
+
+
+def gaussian_conditional(df: DataFrame, x: str, y: str, at: list[float]) -> DataFrame:
+    """x, mean, variance of y given x under the joint normal of both, and y's marginal mean and variance."""
+    row = df.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("c"))
+    given = row.select("*", F.explode(F.array(*map(F.lit, at))).alias("x"))
+    slope = fn.ratio(F.col("c"), F.col("vx"))
+    return given.select("x", (F.col("my") + slope * (F.col("x") - F.col("mx"))).alias("mean"), (F.col("vy") - slope * F.col("c")).alias("variance"), F.col("my").alias("marginal_mean"), F.col("vy").alias("marginal_variance"))

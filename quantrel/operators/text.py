@@ -42,13 +42,13 @@ def best_terms(weights: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def cooccurrence(df: DataFrame, tokens: Column, window: int = 2) -> DataFrame:
-    """centre, context, n within the window: pairs are formed inside each row, then counted with partial sums."""
-    t, sides = df.select(tokens.alias("t")), []
-    for gap in range(1, window + 1):
-        size = F.greatest(F.size("t") - gap, F.lit(0))
-        first, second = F.slice("t", F.lit(1), size), F.slice("t", F.lit(1 + gap), size)
-        sides += [F.zip_with(x, y, lambda c, o: F.struct(c.alias("centre"), o.alias("context"))) for x, y in ((first, second), (second, first))]
-    return t.select(F.explode(F.concat(*sides)).alias("p")).groupBy("p.centre", "p.context").agg(F.count(F.lit(1)).alias("n"))
+    """centre, context, n: pairs of places at most `window` apart, in both directions. Ordered pairs are counted once for each gap, in place, and the
+    counts are mirrored afterwards."""
+    gap = lambda k: F.zip_with(F.slice("__t", 1, F.greatest(F.size("__t") - k, F.lit(0))), F.slice("__t", k + 1, F.greatest(F.size("__t") - k, F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = df.select(tokens.alias("__t")).where(F.size("__t") > 1)
+    pairs = rows.select(F.explode(F.concat(*(F.filter(gap(k), lambda x: x["a"].isNotNull() & x["b"].isNotNull()) for k in range(1, window + 1)))).alias("x")).groupBy("x.a", "x.b").agg(F.count(F.lit(1)).alias("n"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("centre"), F.col("b").alias("context"), "n"), F.struct(F.col("b").alias("centre"), F.col("a").alias("context"), "n")))
+    return pairs.select(both.alias("x")).select("x.*").groupBy("centre", "context").agg(F.sum("n").alias("n"))
 
 
 def symbol_counts(word_freq: DataFrame, symbols: str, freq: str) -> DataFrame:
@@ -180,7 +180,7 @@ def span_f1(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def masked_tokens(df: DataFrame, key: str, tokens: str, seed: int = 0, rate: float = 0.15) -> DataFrame:
     """key, p, tok, action: keep, or of the chosen share 80 % mask, 10 % random, 10 % same. Draws hash (seed, key, place)."""
-    u = lambda s: F.shiftrightunsigned(F.xxhash64(F.lit(seed + s), key, "p"), 11).cast("double") / float(1 << 53)
+    u = lambda s: fn.hashed_uniform(F.lit(seed + s), F.col(key), F.col("p"))
     rows = df.select(key, F.posexplode(tokens).alias("p", "tok"))
     return rows.withColumn("action", F.when(u(0) >= rate, "keep").when(u(1) < 0.8, "mask").when(u(1) < 0.9, "random").otherwise("same"))
 
@@ -188,3 +188,22 @@ def masked_tokens(df: DataFrame, key: str, tokens: str, seed: int = 0, rate: flo
 def next_token_targets(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """key, p, tok, target: causal examples, the last place without one."""
     return df.select(key, F.posexplode(F.zip_with(tokens, F.concat(F.slice(F.col(tokens), F.lit(2), F.greatest(F.size(tokens), F.lit(1))), F.array(F.lit(None).cast("string"))), lambda a, b: F.struct(a.alias("tok"), b.alias("target")))).alias("p", "x")).select(key, "p", "x.tok", "x.target")
+
+
+def span_corruption(df: DataFrame, key: str, tokens: str, rate: float = 0.15, length: int = 3) -> DataFrame:
+    """key, n_spans, n_masked, source, target: runs of `length` places are dropped by the hash of (key, run); a sentinel <i> stands for each in the
+    source, and before its tokens in the target."""
+    n = F.floor((F.size(tokens) + length - 1) / length).cast("int")
+    runs = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    rows = df.select(key, F.col(tokens).alias("__t"), F.filter(runs, lambda r: fn.hashed_uniform(F.lit("span"), F.col(key), r) < rate).alias("__m"), runs.alias("__r"))
+    body = lambda r: F.array_join(F.slice("__t", r * length + 1, length), " ")
+    mark = lambda r: F.concat(F.lit("<"), (F.array_position("__m", r) - 1).cast("string"), F.lit(">"))
+    source = F.array_join(F.transform("__r", lambda r: F.when(F.array_contains("__m", r), mark(r)).otherwise(body(r))), " ")
+    target = F.array_join(F.transform("__m", lambda r: F.concat(mark(r), F.lit(" "), body(r))), " ")
+    masked = F.aggregate("__m", F.lit(0), lambda a, r: a + F.size(F.slice("__t", r * length + 1, length)))
+    return rows.select(key, F.size("__m").alias("n_spans"), masked.alias("n_masked"), source.alias("source"), target.alias("target"))
+
+
+def word_pair_weights(counts: DataFrame, most: float = 10.0, power: float = 0.75) -> DataFrame:
+    """Adds weight (min((n / most) ** power, 1)) and log_n to co-occurrence counts: the rows that a factorisation of log counts is fitted to."""
+    return counts.withColumn("weight", F.least(F.pow(F.col("n") / most, F.lit(power)), F.lit(1.0))).withColumn("log_n", F.ln(F.col("n").cast("double")))

@@ -211,3 +211,40 @@ def permutation_importance(df: DataFrame, predict: Column, y: str, features: lis
     return out
 
 
+def loss_starts(df: DataFrame, y: str, huber_share: float = 0.9, tau: float = 0.5) -> DataFrame:
+    """loss, start (the best constant), value (mean loss there) and gradient (mean negative gradient) of squared, absolute, huber and quantile losses."""
+    c = df.agg(F.avg(y).alias("sq"), F.median(y).alias("md"), F.percentile(y, F.lit(tau)).alias("q"))
+    rows = df.select(y).join(F.broadcast(c))
+    rows = rows.join(F.broadcast(rows.agg(F.percentile(F.abs(F.col(y) - F.col("md")), F.lit(huber_share)).alias("h"))))
+    a, b, q, h = F.col(y) - F.col("sq"), F.col(y) - F.col("md"), F.col(y) - F.col("q"), F.col("h")
+    kinds = {
+        "squared": ("sq", a * a / 2, a), "absolute": ("md", F.abs(b), F.signum(b)),
+        "huber": ("md", F.when(F.abs(b) <= h, b * b / 2).otherwise(h * (F.abs(b) - h / 2)), F.greatest(F.least(b, h), -h)),
+        "quantile": ("q", F.when(q > 0, tau * q).otherwise((tau - 1) * q), F.when(q > 0, F.lit(tau)).otherwise(F.lit(tau - 1))),
+    }
+    row = rows.agg(*(f for k, (s, v, g) in kinds.items() for f in (F.max(s).alias(f"{k}_s"), F.avg(v).alias(f"{k}_v"), F.avg(g).alias(f"{k}_g"))))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("loss"), F.col(f"{k}_s").alias("start"), F.col(f"{k}_v").alias("value"), F.col(f"{k}_g").alias("gradient")) for k in kinds))).alias("x")).select("x.*")
+
+
+def histogram_gains(df: DataFrame, features: list[str], g: str, h: str, bins: int = 64, lam: float = 1.0, min_child_weight: float = 1.0) -> DataFrame:
+    """feature, bin, gain of a split after each bin of exact quantiles: one row a bin is all that a feature's window holds."""
+    edges = df.agg(*(F.array_distinct(F.percentile(f, F.array(*(F.lit(i / bins) for i in range(1, bins))))).alias(f"e_{f}") for f in features))
+    rows = df.join(F.broadcast(edges))
+    below = lambda f: F.size(F.filter(f"e_{f}", lambda e: e <= F.col(f)))
+    place = F.array(*(F.struct(F.lit(f).alias("feature"), below(f).alias("bin")) for f in features))
+    sums = rows.select(F.explode(place).alias("x"), F.col(g).alias("g"), F.col(h).alias("h")).groupBy("x.feature", "x.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    left, whole = Window.partitionBy("feature").orderBy("bin"), Window.partitionBy("feature")
+    c = sums.select("feature", "bin", F.sum("g").over(left).alias("gl"), F.sum("h").over(left).alias("hl"), F.sum("g").over(whole).alias("g"), F.sum("h").over(whole).alias("h"))
+    part = lambda a, b: a * a / (b + lam)
+    gain = 0.5 * (part(F.col("gl"), F.col("hl")) + part(F.col("g") - F.col("gl"), F.col("h") - F.col("hl")) - part(F.col("g"), F.col("h")))
+    return c.where((F.col("hl") >= min_child_weight) & (F.col("h") - F.col("hl") >= min_child_weight)).select("feature", "bin", gain.alias("gain"))
+
+
+def samme_step(df: DataFrame, left: Column, label: str, weight: str, classes: int) -> DataFrame:
+    """error, alpha and wrong_share (weight of the wrong rows after the step) of a stump that votes for each side's heaviest class."""
+    n = df.groupBy(left.alias("side"), F.col(label).alias("c")).agg(F.sum(weight).alias("w"))
+    votes = n.groupBy("side").agg(F.min(F.struct((-F.col("w")).alias("w"), "c")).alias("b")).select("side", F.col("b.c").alias("vote"))
+    e = n.join(F.broadcast(votes), "side").agg((F.sum(F.when(F.col("c") != F.col("vote"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("error"))
+    e = e.withColumn("error", F.greatest(F.least("error", F.lit(1 - 1e-10)), F.lit(1e-10))).withColumn("alpha", F.ln((1 - F.col("error")) / F.col("error")) + math.log(classes - 1))
+    up = F.col("error") * F.exp("alpha")
+    return e.select("error", "alpha", (up / (up + 1 - F.col("error"))).alias("wrong_share"))

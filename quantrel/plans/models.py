@@ -126,10 +126,12 @@ def multinomial_nb_predict(spark, d):
     return pinned(bayes.multinomial_predict(t, bayes.multinomial_parameters(t, "quality"), priors, "doc_id", "quality"), 4)
 
 
-@query()
+@query(f"""WITH t AS (SELECT DISTINCT doc_id, quality, tok FROM {LABELLED}), c AS (SELECT quality AS c, count(*) AS docs FROM documents JOIN labels USING (doc_id) GROUP BY 1), n AS (SELECT tok, quality AS c, count(*) AS n FROM t GROUP BY ALL),
+g AS (SELECT v.tok, c.c, (coalesce(n.n, 0) + 1) / (docs + 2) AS th FROM (SELECT DISTINCT tok FROM n) v CROSS JOIN c LEFT JOIN n ON n.tok = v.tok AND n.c = c.c), e AS (SELECT g.c, sum(ln(1 - th)) + any_value(ln(docs / (SELECT sum(docs) FROM c))) AS base FROM g JOIN c USING (c) GROUP BY g.c),
+s AS (SELECT doc_id, g.c, sum(ln(th) - ln(1 - th)) + any_value(base) AS l FROM t JOIN g USING (tok) JOIN e ON e.c = g.c GROUP BY ALL) SELECT doc_id, arg_min(c, (-l, c)) AS predicted, round(max(l), 3) AS log_joint FROM s GROUP BY doc_id""")
 def bernoulli_nb_predict(spark, d):
     docs, t = labelled_tokens(spark, d)
-    return bayes.bernoulli_predict(t, docs, "doc_id", "quality")
+    return bayes.bernoulli_predict(t, docs, "doc_id", "quality").withColumn("log_joint", F.round("log_joint", 3))
 
 
 @query()

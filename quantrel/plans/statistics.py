@@ -12,6 +12,7 @@ from quantrel.operators import statistics as st
 from quantrel.operators.metrics import pinned
 from quantrel.sources import table
 
+from .foundations import poisson, uniform
 from .registry import query
 
 
@@ -60,14 +61,17 @@ def multiple_testing(spark, d):
     return st.corrections(spark.createDataFrame(P_VALUES, "id long, p double"), "p", "id")
 
 
-@query()
+@query(f"""WITH o AS (SELECT o_orderkey, o_totalprice AS v, o_orderstatus = 'F' AS a FROM orders WHERE o_orderstatus IN ('F', 'O')), s AS (SELECT avg(v) FILTER (a) - avg(v) FILTER (NOT a) AS gap, count(*) FILTER (a) AS na FROM o),
+r AS (SELECT round, v, row_number() OVER (PARTITION BY round ORDER BY {uniform('0', 'round', 'o_orderkey')}) AS k FROM o, range(1, 201) t(round)), g AS (SELECT round, abs(avg(v) FILTER (k <= na) - avg(v) FILTER (k > na)) AS g FROM r, s GROUP BY round)
+SELECT (count(*) FILTER (g >= abs(gap)) + 1) / 201 AS p, round(any_value(gap), 4) AS observed FROM g, s""")
 def permutation_p(spark, d):
-    return st.permutation_test(table(spark, d, "orders").where("o_orderstatus in ('F', 'O')"), "o_totalprice", F.col("o_orderstatus") == "F", "o_orderkey", rounds=200)
+    return st.permutation_test(table(spark, d, "orders").where("o_orderstatus in ('F', 'O')"), "o_totalprice", F.col("o_orderstatus") == "F", "o_orderkey", rounds=200).withColumn("observed", F.round("observed", 4))
 
 
-@query()
+@query(f"""WITH u AS (SELECT round, o_totalprice AS v, {uniform('0', 'round', 'o_orderkey')} AS u FROM orders, range(1, 201) t(round)), m AS (SELECT round, sum(w * v) / sum(w) AS m FROM (SELECT *, {poisson('u')} AS w FROM u) GROUP BY round)
+SELECT round(avg(m), 3) AS mean, round(stddev_samp(m), 3) AS se, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high FROM m""")
 def bootstrap_mean(spark, d):
-    return st.bootstrap_mean(table(spark, d, "orders"), "o_totalprice", "o_orderkey", rounds=200)
+    return pinned(st.bootstrap_mean(table(spark, d, "orders"), "o_totalprice", "o_orderkey", rounds=200), 3)
 
 
 @query("WITH c AS (SELECT event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1) SELECT round(-sum(n / t * ln(n / t)), 6) AS entropy FROM c, (SELECT sum(n) AS t FROM c)")

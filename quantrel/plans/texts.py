@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quantrel import functions as fn
 from quantrel.operators import rules, text, trees
 from quantrel.operators.metrics import pinned
 from quantrel.sources import table
 
+from .foundations import uniform
 from .registry import query
 
 W = "list_filter(string_split_regex(trim(lower(text)), '\\s+'), lambda x: x <> '')"
@@ -126,16 +129,24 @@ def char3_jaccard(spark, d):
     return pinned(table(spark, d, "part").select("p_partkey", text.jaccard(text.char_ngrams(F.col("p_name")), text.char_ngrams(F.lower("p_type"))).alias("jaccard")))
 
 
-BIO = [(1, i, a, b) for i, (a, b) in enumerate(zip("B-PER I-PER O B-LOC O B-ORG I-ORG I-PER".split(), "B-PER I-PER O O O B-ORG I-ORG I-ORG".split(), strict=True))]
+TAGGED = f"""(SELECT user_id, p, CASE WHEN u < 0.3 THEN 'O' WHEN u < 0.6 THEN 'B-' || k ELSE 'I-' || k END AS truth, CASE WHEN v < 0.2 OR u < 0.3 THEN 'O' WHEN u < 0.6 THEN 'B-' || k ELSE 'I-' || k END AS predicted
+FROM (SELECT user_id, p, CASE WHEN p // 4 % 2 = 0 THEN 'PER' ELSE 'LOC' END AS k, {uniform("'u'", 'event_id')} AS u, {uniform("'v'", 'event_id')} AS v FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM events)))"""
 
 
-@query("SELECT 2::BIGINT AS tp, 0::BIGINT AS fp, 1::BIGINT AS fn, 1.0::DOUBLE AS precision, round(2 / 3, 6) AS recall, 0.8::DOUBLE AS f1".replace("2::BIGINT AS tp, 0::BIGINT AS fp, 1::BIGINT AS fn, 1.0::DOUBLE AS precision, round(2 / 3, 6) AS recall, 0.8::DOUBLE AS f1", "1::BIGINT AS tp, 1::BIGINT AS fp, 2::BIGINT AS fn, 0.5::DOUBLE AS precision, round(1 / 3, 6) AS recall, 0.4::DOUBLE AS f1"))
+@query(f"""WITH t AS (SELECT 't' AS s, user_id, p, truth AS tag FROM {TAGGED} UNION ALL SELECT 'p', user_id, p, predicted FROM {TAGGED}), m AS (SELECT s, user_id, p, tag[1] AS m, split_part(tag, '-', -1) AS k, lag(tag[1]) OVER w AS lm, lag(split_part(tag, '-', -1)) OVER w AS lk FROM t WINDOW w AS (PARTITION BY s, user_id ORDER BY p)),
+i AS (SELECT *, sum(CASE WHEN m = 'I' AND lk = k AND lm IN ('B', 'I') THEN 0 ELSE 1 END) OVER (PARTITION BY s, user_id ORDER BY p) AS island FROM m), sp AS (SELECT s, user_id, min(p) AS a, max(p) AS z, arg_min(k, p) AS k FROM i GROUP BY s, user_id, island HAVING arg_min(m, p) = 'B'),
+c AS (SELECT count(*) FILTER (x.s IS NOT NULL AND y.s IS NOT NULL) AS tp, count(*) FILTER (x.s IS NULL) AS fp, count(*) FILTER (y.s IS NULL) AS fn FROM (SELECT * FROM sp WHERE s = 't') x FULL JOIN (SELECT * FROM sp WHERE s = 'p') y ON x.user_id = y.user_id AND x.a = y.a AND x.z = y.z AND x.k = y.k)
+SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
 def entity_f1(spark, d):
-    rows = spark.createDataFrame(BIO, "sent long, p int, truth string, predicted string")
-    return pinned(text.span_f1(text.spans_from_bio(rows, "sent", "p", "truth"), text.spans_from_bio(rows, "sent", "p", "predicted")))
+    e = table(spark, d, "events").select("user_id", "event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("p"))
+    k, u, v = F.when(F.floor(F.col("p") / 4) % 2 == 0, "PER").otherwise("LOC"), fn.hashed_uniform(F.lit("u"), F.col("event_id")), fn.hashed_uniform(F.lit("v"), F.col("event_id"))
+    truth = F.when(u < 0.3, "O").when(u < 0.6, F.concat(F.lit("B-"), k)).otherwise(F.concat(F.lit("I-"), k))
+    rows = e.select("user_id", "p", truth.alias("truth"), F.when(v < 0.2, "O").otherwise(truth).alias("predicted"))
+    return pinned(text.span_f1(text.spans_from_bio(rows, "user_id", "p", "truth"), text.spans_from_bio(rows, "user_id", "p", "predicted")))
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, unnest(range(0, len(w))) AS p FROM {DOCS}), u AS (SELECT {uniform('0', 'doc_id', 'p')} AS a, {uniform('1', 'doc_id', 'p')} AS b FROM t)
+SELECT CASE WHEN a >= 0.15 THEN 'keep' WHEN b < 0.8 THEN 'mask' WHEN b < 0.9 THEN 'random' ELSE 'same' END AS action, count(*) AS n FROM u GROUP BY 1""")
 def masked_tokens(spark, d):
     return text.masked_tokens(docs(spark, d), "doc_id", "w").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
@@ -146,9 +157,8 @@ def next_token_targets(spark, d):
 
 
 BASKETS = "(SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey)"
-SETS = f"""WITH x AS (SELECT * FROM {BASKETS}), n AS (SELECT count(DISTINCT b) AS n FROM x), s AS (
-SELECT [i] AS items, count(*) AS c FROM x GROUP BY i UNION ALL SELECT [p.i, q.i], count(*) FROM x p JOIN x q ON p.b = q.b AND p.i < q.i GROUP BY p.i, q.i
-UNION ALL SELECT [p.i, q.i, r.i], count(*) FROM x p JOIN x q ON p.b = q.b AND p.i < q.i JOIN x r ON r.b = q.b AND q.i < r.i GROUP BY p.i, q.i, r.i), f AS (SELECT items, len(items)::INT AS size, c AS n, c / n.n AS support FROM s, n WHERE c >= {{m}} * n.n - 1e-9)"""
+SETS = f"""WITH x AS (SELECT b, list_sort(list(i)) AS l FROM {BASKETS} GROUP BY b), n AS (SELECT count(*)::DOUBLE AS n FROM x), m AS (SELECT l, unnest(range(1, (1 << len(l))::BIGINT)) AS mask FROM x),
+s AS (SELECT list_filter(l, lambda v, k: (mask >> (k - 1)) & 1 = 1) AS items, count(*) AS c FROM m GROUP BY 1), f AS (SELECT items, len(items)::INT AS size, c AS n, c / n.n AS support FROM s, n WHERE c >= {{m}} * n.n - 1e-9)"""
 
 
 def sets(spark, d, support):

@@ -26,9 +26,23 @@ def iou_pairs(spark, d):
     return pinned(side("a").join(side("b"), "img").where("ak < bk").select(F.col("ak").alias("a"), F.col("bk").alias("b"), vis.iou("a", "b").alias("iou")))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT), (1, 3), (2, 4), (2, 5)) t(img, k)")
+PLACED = """(SELECT label AS img, vec_id AS k, x - w AS x1, y - h AS y1, x + w AS x2, y + h AS y2, s FROM (SELECT label, vec_id, 20 * embedding[1]::DOUBLE AS x, 20 * embedding[2]::DOUBLE AS y, 3 + 4 * abs(embedding[3]::DOUBLE) AS w, 3 + 4 * abs(embedding[4]::DOUBLE) AS h, embedding[5]::DOUBLE AS s FROM embeddings))"""
+
+
+def placed(spark, d):
+    """A box for each vector, its label the image."""
+    e = lambda i: F.col("embedding")[i].cast("double")
+    x, y, w, h = 20 * e(0), 20 * e(1), 3 + 4 * F.abs(e(2)), 3 + 4 * F.abs(e(3))
+    return table(spark, d, "embeddings").select(F.col("label").alias("img"), F.col("vec_id").alias("k"), (x - w).alias("x1"), (y - h).alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), e(4).alias("s"))
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY s DESC, x1, y1) AS r FROM {PLACED}),
+g AS (SELECT img, r, k, true AS kept, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS own FROM b WHERE r = 1 UNION ALL
+SELECT img, r, k, kept, CASE WHEN kept THEN list_append(own, box) ELSE own END FROM (SELECT b.img, b.r, b.k, own, {{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}} AS box, len(list_filter(own, lambda o:
+ greatest(least(o.x2, b.x2) - greatest(o.x1, b.x1), 0) * greatest(least(o.y2, b.y2) - greatest(o.y1, b.y1), 0) > 0.5 * greatest((o.x2 - o.x1) * (o.y2 - o.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(o.x2, b.x2) - greatest(o.x1, b.x1), 0) * greatest(least(o.y2, b.y2) - greatest(o.y1, b.y1), 0), 1e-12))) = 0 AS kept
+ FROM g JOIN b ON b.img = g.img AND b.r = g.r + 1)) SELECT img, k FROM g WHERE kept""")
 def box_suppression(spark, d):
-    return vis.suppress(boxes(spark), "img", "s", 0.5).select("img", "k")
+    return vis.suppress(placed(spark, d), "img", "s", 0.5).select("img", "k")
 
 
 @query(f"SELECT k, round(((x1 + x2) / 2 - 8) / 8, 6) AS tx, round(((y1 + y2) / 2 - 8) / 8, 6) AS ty, round(ln((x2 - x1) / 8), 6) AS sx, round(ln((y2 - y1) / 8), 6) AS sy, round(x1, 6) AS x1, round(x2, 6) AS x2, round(y1, 6) AS y1, round(y2, 6) AS y2 FROM {VALUES}")
@@ -38,10 +52,13 @@ def anchor_offsets(spark, d):
     return pinned(e.select("k", "tx", "ty", "sx", "sy", *vis.decode_boxes("a")))
 
 
-@query("SELECT round(1 * 1 / 2 + 1 * 2 / 3 / 2, 6) AS average_precision")
+@query(f"""WITH p AS (SELECT * FROM {PLACED}), t AS (SELECT img, k AS t, x1 + 1 AS x1, y1 + 1 AS y1, x2 + 1 AS x2, y2 + 1 AS y2 FROM {PLACED} WHERE k % 3 = 0), o AS (SELECT p.k, p.s, t.t, greatest(least(p.x2, t.x2) - greatest(p.x1, t.x1), 0) * greatest(least(p.y2, t.y2) - greatest(p.y1, t.y1), 0) AS i, (p.x2 - p.x1) * (p.y2 - p.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS u FROM p LEFT JOIN t USING (img)),
+b AS (SELECT k, s, CASE WHEN i / greatest(u - i, 1e-12) >= 0.5 THEN t END AS t FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i / greatest(u - i, 1e-12) DESC, t) AS r FROM o) WHERE r = 1), f AS (SELECT k, s, (t IS NOT NULL AND row_number() OVER (PARTITION BY t ORDER BY s DESC, k) = 1)::INT AS tp FROM b),
+c AS (SELECT *, sum(tp) OVER (ORDER BY s DESC, k ROWS UNBOUNDED PRECEDING) / row_number() OVER (ORDER BY s DESC, k) AS pr, row_number() OVER (ORDER BY s DESC, k) AS rank FROM f), e AS (SELECT tp, max(pr) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e FROM c) SELECT round(sum(tp * e) / (SELECT count(*) FROM t), 6) AS average_precision FROM e""")
 def detection_precision(spark, d):
-    truth = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0, 10.0), (1, 2, 20.0, 20.0, 30.0, 30.0)], "img long, t long, x1 double, y1 double, x2 double, y2 double")
-    return pinned(vis.detection_precision(boxes(spark).where("img = 1"), truth, "img", "s", "k", "t"))
+    p = placed(spark, d)
+    truth = p.where(F.col("k") % 3 == 0).select("img", F.col("k").alias("t"), *((F.col(c) + 1).alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return pinned(vis.detection_precision(p, truth, "img", "s", "k", "t"))
 
 
 @query("SELECT round(count(*) FILTER (a AND b) / count(*) FILTER (a OR b), 6) AS iou, round(2 * count(*) FILTER (a AND b) / (count(*) FILTER (a) + count(*) FILTER (b)), 6) AS dice FROM (SELECT x BETWEEN 2 AND 13 AND y BETWEEN 2 AND 13 AS a, x BETWEEN 4 AND 15 AND y BETWEEN 4 AND 15 AS b FROM range(20) t(x), range(20) u(y))")

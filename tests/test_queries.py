@@ -41,7 +41,10 @@ def test_query_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - {"pipeline"}))
 def test_query_runs(spark, name):
-    assert entry.queries()[name](spark, DATA).columns
+    got = entry.queries()[name](spark, DATA)
+    rows = got.collect()
+    assert rows and len(set(got.columns)) == len(got.columns)
+    assert not any(isinstance(x, float) and math.isinf(x) for r in rows for x in r)
 
 
 def test_entry(spark):
