@@ -3,11 +3,11 @@
 Severity grades 0..GRADES-1 are ordered: P(grade <= k) = sigmoid(threshold_k - weights . features), with one weight
 vector for all thresholds. Features are log(1 + count) of words and of word beginnings (4 to 6 letters).
 
-Training takes at most LABELLED_ROWS labelled documents, the smallest by hash of their id (a documented bound; the
+Training takes at most LABELLED_ROWS labelled documents that docs has, the smallest by hash of their id (a documented bound; the
 model, not the corpus, rests on it), in three aggregates that run where the texts are:
 which features part toxic from other documents (the FEATURES most telling), the features of the labelled documents, and grades.
-Labels say toxic or not; a toxic document's grade is the third of the toxic documents that its sum of toxic-side features falls
-in: grades that a sum of features orders are what weights shared across thresholds can fit. Every document is then scored whole.
+Labels say toxic or not, so severity is latent: a toxic document's grade is the third of the toxic documents that it falls in by the score of a
+two-class model of the same link, fitted to the other FOLDS - 1 folds and never to the document or its copies. Every document is then scored whole.
 
 Output: the grade probabilities' expected severity, the likeliest grade, and toxic, which holds where P(grade >= 1) >= 0.5.
 
@@ -33,6 +33,7 @@ from .common import materialise, smallest, table
 LABELLED_ROWS = 20_000
 FEATURES, LEAST_DOCS, LEAST_Z = 6000, 3, 2.3
 GRADES, STARTS = 4, (4, 5, 6)
+FOLDS, FOLD_ROUNDS, FOLD_RIDGE = 5, 100, 1e-2
 KEPT_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -82,13 +83,13 @@ class OrdinalModel:
         return np.diff(np.concatenate([np.zeros((len(scores), 1)), below, np.ones((len(scores), 1))], 1), axis=1)
 
 
-def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarray, size: int, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarray, size: int, levels: int = GRADES, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the highest penalised likelihood, by Adam on full passes; entries are (row, feature, value).
 
     Thresholds are a first value and the logarithms of their gaps, so they always rise.
     """
     n = len(grades)
-    share = np.bincount(grades, minlength=GRADES).cumsum()[:-1] / len(grades)
+    share = np.bincount(grades, minlength=levels).cumsum()[:-1] / len(grades)
     cut = np.maximum.accumulate(np.log((share + 1e-3) / (1 - share + 1e-3)))
     v = np.concatenate([np.zeros(size), cut[:1], np.log(np.maximum(np.diff(cut), 0.1))])
     m, s = np.zeros_like(v), np.zeros_like(v)
@@ -103,10 +104,10 @@ def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarr
         slope = (du - dl) / n
         g = np.zeros_like(v)
         g[:size] = np.bincount(feature, weights=value * slope[at], minlength=size) + ridge * v[:size]
-        by = np.zeros(GRADES + 1)
+        by = np.zeros(levels + 1)
         np.add.at(by, grades + 1, -du / n)
         np.add.at(by, grades, dl / n)
-        inner = by[1:GRADES]
+        inner = by[1:levels]
         g[size] = inner.sum()
         g[size + 1 :] = gaps * inner[::-1].cumsum()[::-1][1:]
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
@@ -117,6 +118,7 @@ def fit(at: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: np.ndarr
 def labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(id, t, toxic) of the bounded sample, written once."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    chosen = chosen.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = smallest(chosen.withColumn("h", F.xxhash64("doc_id")), "h", rows, "doc_id", "toxic").drop("h")
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     return materialise(own.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").alias("id"), "t", "toxic"), "toxicity-sample")
@@ -144,6 +146,26 @@ def telling(sample: DataFrame) -> list[tuple[str, float]]:
     return [(r["f"], r["z"]) for r in by.orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).collect()]
 
 
+def severities(at: np.ndarray, feature: np.ndarray, value: np.ndarray, toxic: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """Grade of each labelled row: 0 for what is not toxic; a toxic row's third among the toxic rows by the score of a model that has not seen the row.
+
+    Rows with equal keys share a fold, so copies do not vouch for each other.
+    """
+    fold, score = keys % FOLDS, np.zeros(len(toxic))
+    for k in range(FOLDS):
+        own = fold == k
+        rest = np.flatnonzero(~own)
+        if not own.any() or len(np.unique(toxic[rest])) < 2:
+            continue
+        place = np.full(len(toxic), -1)
+        place[rest] = np.arange(len(rest))
+        seen = ~own[at]
+        weights, _ = fit(place[at[seen]], feature[seen], value[seen], toxic[rest], size, levels=2, rounds=FOLD_ROUNDS, ridge=FOLD_RIDGE)
+        score += own * np.bincount(at, weights=value * weights[feature], minlength=len(toxic))
+    cuts = np.quantile(score[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
+    return np.where(toxic == 1, 1 + np.searchsorted(cuts, score, side="right"), 0)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> OrdinalModel | None:
     """None where the labels lack a class or no feature parts them."""
     sample = labelled(docs, labels, rows)
@@ -151,22 +173,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Ordi
     if not found:
         return None
     vocabulary = [f for f, _ in found]
-    empty, toxic_side = OrdinalModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(GRADES - 1)), {i for i, (_, z) in enumerate(found) if z > 0}
+    empty = OrdinalModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(GRADES - 1))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             own = [empty.sparse(t) for t in batch["t"]]
-            yield pd.DataFrame({"id": batch["id"].astype(str), "toxic": batch["toxic"], "places": [list(x) for x in own], "values": [list(x.values()) for x in own]})
+            yield pd.DataFrame({"id": batch["id"].astype(str), "h": batch["h"], "toxic": batch["toxic"], "places": [list(x) for x in own], "values": [list(x.values()) for x in own]})
 
-    got = sample.mapInPandas(features, "id string, toxic int, places array<int>, values array<double>").toPandas().sort_values("id", kind="stable")
+    got = sample.withColumn("h", F.xxhash64("id", "t")).mapInPandas(features, "id string, h long, toxic int, places array<int>, values array<double>").toPandas().sort_values(["h", "id", "toxic"], kind="stable")
     at = np.repeat(np.arange(len(got)), got["places"].map(len))
     feature, value = (np.concatenate([np.empty(0, kind), *got[c]]).astype(kind) for c, kind in (("places", np.int32), ("values", np.float64)))
     toxic = got["toxic"].to_numpy()
-    side = np.zeros(len(vocabulary), bool)
-    side[list(toxic_side)] = True
-    mass = np.bincount(at, weights=value * side[feature], minlength=len(got))
-    cuts = np.quantile(mass[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, mass, side="right"), 0)
+    grades = severities(at, feature, value, toxic, got["h"].to_numpy(), len(vocabulary))
     return OrdinalModel(vocabulary, *fit(at, feature, value, grades, len(vocabulary)))
 
 

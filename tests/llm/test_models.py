@@ -121,6 +121,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).collect() == []
 
 
+def test_grades_follow_a_planted_severity(spark):
+    """Grades of rows that no model was trained on rise with the number of toxic words that was planted in them."""
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([(*r[:2], "x", 1) for r in rows] + [(5, rows[5][1], "y", 2), (2000, "nastyfoo " * 60_000, "z", 3)], DOCS + ", `t` string, grade int")
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows if i % 2 == 0] + [(10**6 + i, 1, 1) for i in range(500)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, 250)  # labels without a document do not use up the bound
+    got = {r["doc_id"]: r["expected_severity"] for r in toxicity.score(docs, model).collect()}
+    held = [(i // 5 % 6, got[i]) for i, _, t in rows if t and i % 2]
+    ranks = np.argsort(np.argsort([x for x, _ in held], kind="stable")), np.argsort(np.argsort([x for _, x in held], kind="stable"))
+    assert np.corrcoef(*ranks)[0, 1] > 0.7 and got[2000] > 1
+
+
 def test_ordinal_gradient():
     rng = np.random.default_rng(1)
     rows = [{int(f): 1.0 for f in rng.choice(5, 2, replace=False)} for _ in range(300)]
