@@ -50,6 +50,14 @@ def reserve(df: DataFrame, *names: str) -> dict[str, str]:
     return out
 
 
+def one_of_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each value of the keys: that of the smallest hash of all columns (maps, which have no hash, aside)."""
+    own = [F.col(f"`{c}`") for c in df.columns]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    picked = df.groupBy(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*own), F.xxhash64(*hashed)).alias("row"))
+    return picked.select("row.*")
+
+
 def smallest(df: DataFrame, hash_column: str, n: int, *ties: str) -> DataFrame:
     """The n rows of smallest 64-bit hash (then ties). Where there are many more rows, those beyond twice the expected cut are left out
     first, so that each task hands on its share of about 2n rows and not n rows of its own."""
@@ -64,12 +72,14 @@ def smallest(df: DataFrame, hash_column: str, n: int, *ties: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where none is set."""
+    """The folder that the cluster names for checkpoints; one of our own only in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="quantrel-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir(f"file://{own}")

@@ -60,16 +60,17 @@ def assign(df: DataFrame, key: str, weights: list[float], out: str = "shard") ->
 
 def numbered(rows: DataFrame, shard: str, count: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds `slot` to rows, whose columns together decide the order within a shard (by hash bucket, then by value)."""
-    shards, cols = max(1, rows.select(shard).distinct().count()), rows.columns
+    shards, cols, n = max(1, rows.select(shard).distinct().count()), rows.columns, reserve(rows, "mult", "bucket", "before", "n", "within", "copy")
     buckets = max(1, math.ceil(count / (shards * bucket_rows)))
-    once = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("__mult")).withColumn("__bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
+    own = [F.col(f"`{c}`") for c in cols]
+    once = rows.groupBy(*own).agg(F.count(F.lit(1)).alias(n["mult"])).withColumn(n["bucket"], F.pmod(F.xxhash64(*own), F.lit(buckets)))
     once = materialise(once, "shard-rows")
-    before = once.groupBy(shard, "__bucket").agg(F.sum("__mult").alias("__n"))
-    before = before.withColumn("__before", F.sum("__n").over(Window.partitionBy(shard).orderBy("__bucket")) - F.col("__n")).drop("__n")
-    within = F.sum("__mult").over(Window.partitionBy(shard, "__bucket").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__mult")
-    placed = once.withColumn("__within", within).join(before, [shard, "__bucket"])
-    placed = placed.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mult") - 1)))
-    return placed.select(*cols, (F.col("__before") + F.col("__within") + F.col("__copy")).alias("slot"))
+    before = once.groupBy(shard, n["bucket"]).agg(F.sum(n["mult"]).alias(n["n"]))
+    before = before.withColumn(n["before"], F.sum(n["n"]).over(Window.partitionBy(shard).orderBy(n["bucket"])) - F.col(n["n"])).drop(n["n"])
+    within = F.sum(n["mult"]).over(Window.partitionBy(shard, n["bucket"]).orderBy(*own).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n["mult"])
+    placed = once.withColumn(n["within"], within).join(before, [shard, n["bucket"]])
+    placed = placed.withColumn(n["copy"], F.explode(F.sequence(F.lit(0).cast("long"), F.col(n["mult"]) - 1)))
+    return placed.select(*own, (F.col(n["before"]) + F.col(n["within"]) + F.col(n["copy"])).alias("slot"))
 
 
 def op8_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

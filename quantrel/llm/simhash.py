@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, materialise, reserve, split_words, table, upto
+from .common import let, lower_ascii, materialise, one_of_each, reserve, split_words, table, upto
 from .components import components
 
 SHINGLE, RADIUS = 3, 2
@@ -150,14 +150,14 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component: that of the smallest id (null ids last), then of the smallest hash of its text; columns as they were.
 
-    Of rows that repeat both, which are alike but for other columns, any one stays.
+    Of rows that repeat both, that of the smallest hash of all its columns stays.
     """
     n = reserve(df, "id", "th", "own")
     best = near_duplicates(df, id_column, text).groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "th")).alias("b"))
     keep = best.select(F.col("b.id").alias(n["id"]), F.col("b.th").alias(n["th"]))
     marked = df.withColumn(n["own"], F.xxhash64(F.col(f"`{text}`").cast("string")))
     kept = marked.join(keep, F.col(f"`{id_column}`").eqNullSafe(F.col(n["id"])) & (F.col(n["own"]) == F.col(n["th"])), "left_semi")
-    return kept.dropDuplicates([id_column, n["own"]]).drop(n["own"])
+    return one_of_each(kept, [id_column, n["own"]]).drop(n["own"])
 
 
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

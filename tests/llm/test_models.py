@@ -184,6 +184,52 @@ def test_urls_are_scored_whole(spark):
     assert got[200] > got[201] and got[202] > 0 > got[203] and got[204] == got[205] == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of the values in turn, unsigned."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<i" if v[1] == 4 else "<q", v[0]), seed)
+    return seed
+
+
+def test_scores_and_verdicts_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdeé"), 4))
+    rows = [(i, f"http://{word()}.org/{word()}?{word()}") for i in range(40)] + [(50 + i, f"http://{word()}.com/de/z{word()}z#{word()}zz") for i in range(40)]
+    asked = [(100 + i, f"https://{word()}.net/{word()}" + ("zz" * (i % 3))) for i in range(30)] + [(200, None), (201, ""), (202, "zzz"), (203, "x" * 3000)]
+    got = {r["page_id"]: r for r in url_filters.with_verdict(spark.createDataFrame(rows + asked, "page_id long, url string")).collect()}
+
+    def chances(texts):
+        seen = Counter((t[i - k : i], t[i] if i < len(t) else 256) for t in texts for i in range(len(t) + 1) for k in range(min(i, 5) + 1))
+        after = {}
+        for (h, c), n in seen.items():
+            after.setdefault(h, {})[c] = n
+
+        def p(h, c):
+            own = after.get(h)
+            low = 1 / 257 if not h else p(h[1:], c)
+            return low if own is None else (own.get(c, 0) + len(own) * low) / (sum(own.values()) + len(own))
+
+        return p
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    ordered = lambda part: [u.encode() for _, u in sorted(part, key=lambda r: (signed(spark_hash((r[0], 8), r[1])), r[1]))]
+    allow, block = ordered(rows[:40]), ordered(rows[40:])
+    p, q = (chances([t for i, t in enumerate(x) if i % 5 != 4]) for x in (allow, block))
+    score = lambda t: sum(math.log(p(t[max(0, i - 5) : i], c)) - math.log(q(t[max(0, i - 5) : i], c)) for i, c in enumerate([*t, 256])) / (len(t) + 1) if t else 0.0
+    x, y = np.array([score(t) for t in [*allow[4::5], *block[4::5]]]), np.repeat([1.0, 0.0], 8)
+    a, b = url_filters.Ratio.calibrate(x, y)
+    for i, u in asked:
+        want = score((u or "").encode())
+        assert got[i]["rule"] is None and got[i]["score"] == pytest.approx(want, abs=1e-8) and got[i]["verdict"] == ("allow" if a * want + b >= 0 else "block")
+    assert {got[i]["verdict"] for i, _ in asked} == {"allow", "block"}
+
+
 def test_markov_model():
     m = url_filters.MarkovModel(3)
     for t in ("abab", "abc"):
@@ -431,6 +477,29 @@ def test_shards_keep_their_law(spark, monkeypatch):
     assert got.groupby(got["doc_id"].fillna(-1))["shard"].nunique().max() == 1
 
 
+def test_shards_against_plain_python(spark, monkeypatch):
+    rows = [(i, "t" * (i % 9)) for i in [*range(-5, 400), 2**62]] + [(None, None), (7, "long " * 100_000)]
+    monkeypatch.setattr(sharding, "table", lambda *a: spark.createDataFrame(rows, DOCS))
+    got = sharding.op8_weighted_hash_tree(spark, "").collect()
+
+    def winner(key, level, weights):
+        draw = lambda n: math.log(((spark_hash(key, level, (n, 4)) >> 11) + 0.5) / 2**53) / weights[n]
+        return max(weights, key=lambda n: (draw(n), n))
+
+    def shard(i, count):
+        key, racks = None if i is None else (i, 8), {r: [s for s in range(count) if s // 5 == r] for r in range((count + 4) // 5)}
+        size = lambda rs: float(sum(len(racks[r]) for r in rs))
+        regions = {g: [r for r in racks if r // 4 == g] for g in {r // 4 for r in racks}}
+        region = winner(key, "region", {g: size(rs) for g, rs in regions.items()})
+        rack = winner(key, "rack", {r: size([r]) for r in regions[region]})
+        return winner(key, "shard", dict.fromkeys(racks[rack], 1.0))
+
+    assert all((r["shard"], r["grown_shard"]) == (shard(r["doc_id"], 40), shard(r["doc_id"], 41)) for r in got) and len(got) == len(rows)
+    assert {r["size"] for r in got if r["doc_id"] is None} == {16} and max(r["size"] for r in got) == 500_016
+    monkeypatch.setattr(sharding, "table", lambda *a: spark.createDataFrame([], DOCS))
+    assert sharding.op8_weighted_hash_tree(spark, "").collect() == []
+
+
 def test_weights_move_rows_into_changed_subtrees_only(spark):
     df = spark.range(4000).withColumnRenamed("id", "k")
     even = [1.0] * 40
