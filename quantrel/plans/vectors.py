@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantrel import functions as fn
@@ -27,8 +26,7 @@ QUERY_ROWS = "vec_id % 20 = 0"
 @query(f"SELECT q.vec_id AS q, i.vec_id AS i, {', '.join(f'round({s}, 6) AS {m}' for m, s in METRICS.items())} FROM {E} q, {E} i WHERE q.{QUERY_ROWS} AND q.vec_id <> i.vec_id")
 def pairwise_metrics(spark, d):
     v = vectors(spark, d)
-    q = v.where(QUERY_ROWS).select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    met = v.select(F.col("vec_id").alias("i"), F.col("v").alias("iv")).join(F.broadcast(q), F.col("q") != F.col("i"))
+    met = nn.met(v.where(QUERY_ROWS), v, "vec_id", "v")
     return pinned(met.select("q", "i", *(fn.distance(F.col("qv"), F.col("iv"), m, 3.0).alias(m) for m in METRICS)))
 
 
@@ -127,8 +125,7 @@ def ivf_probe_recall(spark, d):
     v = vectors(spark, d)
     q = v.where(QUERY_ROWS)
     found = nn.ivf_search(q, v, "vec_id", "v", nn.label_means(v, "v", "label"), probes=3, k=10)
-    qq = q.select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    exact = nn.top_k(v.select(F.col("vec_id").alias("i"), F.col("v").alias("iv")).join(F.broadcast(qq), F.col("q") != F.col("i")).select("q", "i", (-fn.dot(F.col("qv"), F.col("iv"))).alias("d")), 10)
+    exact = nn.top_k(nn.met(q, v, "vec_id", "v").select("q", "i", (-fn.dot(F.col("qv"), F.col("iv"))).alias("d")), 10)
     return pinned(nn.recall(found, exact))
 
 
@@ -178,23 +175,24 @@ SCORES = f"(SELECT q.vec_id AS q, i.vec_id AS i, list_dot_product(q.v, i.v) / 8
 
 def scores(spark, d):
     v = vectors(spark, d)
-    q = v.where(QUERY_ROWS).select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    return v.select(F.col("vec_id").alias("i"), F.col("v").alias("iv")).join(F.broadcast(q)).select("q", "i", (fn.dot(F.col("qv"), F.col("iv")) / 8).alias("s"), "iv")
+    return nn.met(v.where(QUERY_ROWS), v, "vec_id", "v", same=True).select("q", "i", (fn.dot(F.col("qv"), F.col("iv")) / 8).alias("s"), "iv")
 
 
 @query(f"SELECT q, i, round(exp(s - max(s) OVER w) / sum(exp(s)) OVER w * exp(max(s) OVER w), 8) AS weight FROM {SCORES} WINDOW w AS (PARTITION BY q)")
 def attention_weights(spark, d):
-    top = Window.partitionBy("q")
-    s = scores(spark, d).withColumn("m", F.max("s").over(top))
-    e = F.exp(F.col("s") - F.col("m"))
-    return pinned(s.select("q", "i", (e / F.sum(e).over(top)).alias("weight")), 8)
+    return pinned(softmax_by_query(scores(spark, d)), 8)
+
+
+def softmax_by_query(s):
+    """q, i, weight: a maximum and a sum for each query, reduced before the shuffle and joined back, so no task holds all scores of a query."""
+    top = s.groupBy("q").agg(F.max("s").alias("m"))
+    e = s.join(top, "q").select("q", "i", F.exp(F.col("s") - F.col("m")).alias("e"))
+    return e.join(e.groupBy("q").agg(F.sum("e").alias("l")), "q").select("q", "i", (F.col("e") / F.col("l")).alias("weight"))
 
 
 @query(f"SELECT q, i, round(exp(s) / sum(exp(s)) OVER (PARTITION BY q), 8) AS weight FROM {SCORES} WHERE i <= q")
 def causal_attention_weights(spark, d):
-    s = scores(spark, d).where("i <= q")
-    e = F.exp("s")
-    return pinned(s.select("q", "i", (e / F.sum(e).over(Window.partitionBy("q"))).alias("weight")), 8)
+    return pinned(softmax_by_query(scores(spark, d).where("i <= q")), 8)
 
 
 @query(f"SELECT q, p::INT - 1 AS p, round(sum(exp(s) * iv[p]) / sum(exp(s)), 6) AS x FROM (SELECT *, unnest(range(1, 65)) AS p FROM {SCORES}) GROUP BY ALL")
@@ -234,7 +232,6 @@ def positional_encoding(spark, d):
 @query(f"SELECT q.vec_id AS q, i.vec_id AS i, round(list_dot_product(q.v, i.v), 6) AS linear, round(pow(0.5 * list_dot_product(q.v, i.v) + 1, 3), 6) AS poly, round(exp(-0.5 * list_sum(list_transform(list_zip(q.v, i.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS rbf, round(exp(-0.5 * list_sum(list_transform(list_zip(q.v, i.v), lambda z: abs(z[1] - z[2])))), 6) AS laplacian, round(tanh(0.5 * list_dot_product(q.v, i.v) + 1), 6) AS sigmoid FROM {E} q, {E} i WHERE q.{QUERY_ROWS}")
 def kernel_matrix(spark, d):
     v = vectors(spark, d)
-    q = v.where(QUERY_ROWS).select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))
-    met = v.select(F.col("vec_id").alias("i"), F.col("v").alias("iv")).join(F.broadcast(q))
+    met = nn.met(v.where(QUERY_ROWS), v, "vec_id", "v", same=True)
     a, b = F.col("qv"), F.col("iv")
     return pinned(met.select("q", "i", fn.kernel(a, b, "linear").alias("linear"), fn.kernel(a, b, "poly", 0.5, 3, 1.0).alias("poly"), fn.kernel(a, b, "rbf", 0.5).alias("rbf"), fn.kernel(a, b, "laplacian", 0.5).alias("laplacian"), fn.kernel(a, b, "sigmoid", 0.5, 3, 1.0).alias("sigmoid")))
