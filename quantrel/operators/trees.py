@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from quantrel import functions as fn
 
+#: Range buckets that a feature's values are cut into, at most.
+MAX_PARTS = 64
+#: Distinct values of a feature (estimated in the fit's first pass) up to which its splits are searched as one group.
+ONE_GROUP = 100_000
+
 
 def value_counts(df: DataFrame, features: list[str], stats: dict[str, Column], node: str | None = None) -> DataFrame:
     """(node,) feature, value and summed stats: rows are melted in place and summed before the shuffle."""
@@ -18,13 +23,32 @@ def value_counts(df: DataFrame, features: list[str], stats: dict[str, Column], n
     return melted.groupBy(*keys, F.col("x.feature").alias("feature"), F.col("x.value").alias("value")).agg(*(F.sum(f"__{k}").alias(k) for k in stats))
 
 
-def split_table(counts: DataFrame, stats: list[str], node: str | None = None) -> DataFrame:
-    """Each midpoint of neighbouring values with left sums l_* and totals t_*; value <= threshold goes left."""
-    keys = [node] if node else []
-    order = Window.partitionBy(*keys, "feature").orderBy("value")
-    left, every = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "feature")
-    rows = counts.select(*keys, "feature", "value", *(F.sum(s).over(left).alias(f"l_{s}") for s in stats), *(F.sum(s).over(every).alias(f"t_{s}") for s in stats), F.lead("value").over(order).alias("after"))
-    return rows.where("after is not null").withColumn("threshold", (F.col("value") + F.col("after")) / 2)
+def split_table(counts: DataFrame, stats: list[str], node: str | None = None, wide: bool = True) -> DataFrame:
+    """Each midpoint of neighbouring values with left sums l_* and totals t_*; value <= threshold goes left.
+
+    A feature's values are cut into range buckets; a bucket is summed on from the totals of those before it, so that a feature
+    with many distinct values is many groups. Edges part the work and change no result. Where the values are known to be few
+    (not `wide`), one group a feature does.
+    """
+    keys = [node, "feature"] if node else ["feature"]
+    middle = ((F.col("value") + F.col("after")) / 2).alias("threshold")
+    if not wide:
+        line, every = Window.partitionBy(*keys).orderBy("value"), Window.partitionBy(*keys)
+        left = (F.sum(s).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias(f"l_{s}") for s in stats)
+        rows = counts.select(*keys, "value", *left, *(F.sum(s).over(every).alias(f"t_{s}") for s in stats), F.lead("value").over(line).alias("after"))
+        return rows.where("after is not null").select("*", middle)
+    n = min(MAX_PARTS, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = counts.groupBy("feature").agg(F.percentile_approx("value", [i / n for i in range(1, n)] or [0.5], 1000).alias("__edges"))
+    cut = counts.join(F.broadcast(edges), "feature").withColumn("__bucket", F.coalesce(F.size(F.filter("__edges", lambda e: e < F.col("value"))), F.lit(0))).drop("__edges")
+    line, every = Window.partitionBy(*keys).orderBy("__bucket"), Window.partitionBy(*keys)
+    sums = cut.groupBy(*keys, "__bucket").agg(*(F.sum(s).alias(s) for s in stats), F.min("value").alias("__first"))
+    ahead = [F.coalesce(F.sum(s).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__b_{s}") for s in stats]
+    sums = sums.select(*keys, "__bucket", *ahead, *(F.sum(s).over(every).alias(f"t_{s}") for s in stats), F.lead("__first").over(line).alias("__next"))
+    order = Window.partitionBy(*keys, "__bucket").orderBy("value")
+    own = cut.select(*keys, "__bucket", "value", *(F.sum(s).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__l_{s}") for s in stats), F.lead("value").over(order).alias("__after"))
+    rows = own.join(sums, [*keys, "__bucket"]).withColumn("after", F.coalesce("__after", "__next")).where("after is not null")
+    left = (F.col(f"__l_{s}") + F.col(f"__b_{s}") for s in stats)
+    return rows.select(*keys, "value", *(c.alias(f"l_{s}") for c, s in zip(left, stats, strict=True)), *(f"t_{s}" for s in stats), "after", middle)
 
 
 def gini_gain(k: int) -> Column:
@@ -97,12 +121,13 @@ def grow(df: DataFrame, features: list[str], stats: dict[str, Column], gain: Col
 
     leaf: from a dict of summed stats to the node's value.
     """
-    first = df.agg(*(F.sum(c).alias(k) for k, c in stats.items())).first().asDict()
+    first = df.agg(*(F.sum(c).alias(k) for k, c in stats.items()), F.greatest(F.lit(0), *(F.approx_count_distinct(f) for f in features)).alias("__values")).first().asDict()
+    wide = first.pop("__values") > ONE_GROUP
     tree = Tree({0: (None, None, leaf(first))})
     open_ = [0]
     for _ in range(depth):
         rows = df.withColumn("__node", tree.column(what="node")).where(F.col("__node").isin(open_))
-        splits = split_table(value_counts(rows, features, stats, "__node"), list(stats), "__node")
+        splits = split_table(value_counts(rows, features, stats, "__node"), list(stats), "__node", wide)
         splits = splits.where((F.col(f"l_{count}") >= least) & (F.col(f"t_{count}") - F.col(f"l_{count}") >= least))
         found = best_split(splits, gain, "__node").where(F.col("gain") > min_gain).collect()
         open_ = []

@@ -177,6 +177,19 @@ def test_trees(rows):
     assert m[0][1] == "a" and m[0][0] > 0
 
 
+def test_split_tables_by_buckets(rows):
+    """Bucketed and plain split tables agree, so do the trees grown from them."""
+    _, df = rows
+    counts = trees.value_counts(df.withColumn("node", F.col("flag") + 1), X, {"n": F.lit(1).cast("long"), "s": F.col("y")}, "node")
+    seen = [sorted((r["node"], r["feature"], r["value"], r["after"], r["threshold"], r["l_n"], r["t_n"], round(r["l_s"], 6), round(r["t_s"], 6)) for r in trees.split_table(counts, ["n", "s"], "node", w).collect()) for w in (False, True)]
+    assert seen[0] and seen[0] == seen[1]
+    plain, trees.ONE_GROUP = trees.regression_tree(df, X, "y", depth=2), 0
+    try:
+        assert {i: n[:2] for i, n in trees.regression_tree(df, X, "y", depth=2).nodes.items()} == {i: n[:2] for i, n in plain.nodes.items()}
+    finally:
+        trees.ONE_GROUP = 100_000
+
+
 def test_neighbours_and_clusters(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(m, 0.1, size=(20, 2)) for m in ((0, 0), (3, 0), (0, 3))])
