@@ -9,6 +9,7 @@ from quantrel.operators import linear as lin
 from quantrel.operators.metrics import pinned
 from quantrel.sources import table, vectors
 
+from . import unrolled
 from .registry import query
 
 X3 = ["l_quantity", "l_discount", "l_tax"]
@@ -48,11 +49,14 @@ def elastic_net_path(spark, d):
     return spark.createDataFrame(rows, "alpha double, intercept double, quantity double, discount double, tax double")
 
 
-@query()
+PENALTIES = [0.1, 10.0, 1000.0, 100000.0]
+
+
+@query(unrolled.ridge_folds(X3, "l_extendedprice", PENALTIES, 5))
 def ridge_cross_validation(spark, d):
-    t = table(spark, d, "lineitem").withColumn("fold", F.pmod(F.xxhash64("l_orderkey"), F.lit(5)))
-    r = lin.cross_validate(t, X3, "l_extendedprice", "fold", [0.1, 10.0, 1000.0, 100000.0])
-    return spark.createDataFrame([(float(a), *e, r["best"], r["one_se"]) for a, e in r["errors"].items()], "alpha double, mse double, se double, best double, one_se double")
+    t = table(spark, d, "lineitem").withColumn("fold", F.col("l_orderkey") % 5)
+    r = lin.cross_validate(t, X3, "l_extendedprice", "fold", PENALTIES)
+    return spark.createDataFrame([(float(a), *(round(v, 2) for v in e), r["best"], r["one_se"]) for a, e in r["errors"].items()], "alpha double, mse double, se double, best double, one_se double")
 
 
 @query("""WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, count(*) AS n, avg(l_quantity) AS m, regr_sxx(l_extendedprice, l_quantity) AS sxx FROM lineitem),
@@ -64,11 +68,11 @@ def regression_diagnostics(spark, d):
     return r.select("l_orderkey", "l_linenumber", F.round("fitted", 3).alias("fitted"), F.round("leverage", 8).alias("leverage"), F.round("studentized", 5).alias("studentized"), F.round("cooks_distance", 9).alias("cooks_distance"))
 
 
-@query()
+@query(unrolled.newton())
 def logistic_newton(spark, d):
     t = table(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
     r = lin.logistic(t, ["l_discount", "l_tax"], "y", lam=1.0)
-    return spark.createDataFrame([(n, *(round(float(r[c][i]), 9) for c in ("coef", "se", "odds_ratio", "low", "high"))) for i, n in enumerate(["intercept", "l_discount", "l_tax"])], "term string, coef double, se double, odds_ratio double, low double, high double")
+    return spark.createDataFrame([(n, *(round(float(r[c][i]), 6) for c in ("coef", "se", "odds_ratio", "low", "high"))) for i, n in enumerate(["intercept", "l_discount", "l_tax"])], "term string, coef double, se double, odds_ratio double, low double, high double")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity, round(pow(l_quantity, 2), 4) AS p2, round(pow(l_quantity, 3), 4) AS p3, round(1.5 * pow(2 * (l_quantity - 1) / 49 - 1, 2) - 0.5, 6) AS q2, round(pow(greatest(l_quantity - 25, 0), 3), 4) AS t0 FROM lineitem""")

@@ -13,6 +13,7 @@ from quantrel.operators.metrics import pinned
 from quantrel.sources import table
 
 from .foundations import poisson, uniform
+from . import unrolled
 from .registry import query
 
 
@@ -97,7 +98,7 @@ def perplexity(spark, d):
     return pinned(langs.agg(F.exp(-F.sum(F.col("count") * F.col("lp")) / F.sum("count")).alias("perplexity")))
 
 
-@query()
+@query(unrolled.HUFFMAN)
 def huffman_lengths(spark, d):
     return info.huffman_lengths(table(spark, d, "events"), "event_type")
 

@@ -10,6 +10,7 @@ from quantrel.operators import rules, text, trees
 from quantrel.operators.metrics import pinned
 from quantrel.sources import table
 
+from . import unrolled
 from .foundations import uniform
 from .registry import query
 
@@ -104,7 +105,7 @@ def bleu_scores(spark, d):
     return pinned(text.bleu(turns(spark, d), "id", "ref", "hyp").drop("rl", "hl"))
 
 
-@query()
+@query(unrolled.common_subsequence(PAIRS, _words("ref"), _words("hyp")))
 def rouge_l_scores(spark, d):
     return pinned(turns(spark, d).select("id", text.rouge_l(F.col("ref"), F.col("hyp")).alias("rouge_l")))
 
@@ -216,18 +217,18 @@ def weighted_stump(spark, d):
     return s.select("feature", F.round("threshold", 6).alias("threshold"), "polarity", F.round("error", 8).alias("error"))
 
 
-@query()
+@query(unrolled.tree(FEATURES, {f"c{i}": f"(l_returnflag = '{f}')::BIGINT" for i, f in enumerate("ANR")}, unrolled.gini(3), "CASE WHEN sum(c0) >= greatest(sum(c1), sum(c2)) THEN 'A' WHEN sum(c1) >= sum(c2) THEN 'N' ELSE 'R' END", 3))
 def classification_tree(spark, d):
     rows = items(spark, d)
     t = trees.classification_tree(rows, FEATURES, "l_returnflag", ["A", "N", "R"], depth=3)
     return rows.groupBy(t.column(what="node").alias("node"), t.column().alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(unrolled.tree(FEATURES, {"n": "1", "s": "l_extendedprice"}, unrolled.VARIANCE, "round(avg(s), 4)", 3, ", round(avg(s), 4) AS mean"))
 def regression_tree(spark, d):
     rows = items(spark, d)
     t = trees.regression_tree(rows, FEATURES, "l_extendedprice", depth=3)
-    return rows.groupBy(t.column(what="node").alias("node"), t.column().alias("predicted")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean"))
+    return rows.groupBy(t.column(what="node").alias("node"), F.round(t.column(), 4).alias("predicted")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
 
 
 @query()

@@ -9,6 +9,7 @@ from quantrel.operators import vision as vis
 from quantrel.operators.metrics import pinned
 from quantrel.sources import gridworld, table
 
+from . import unrolled
 from .registry import query
 
 BOXES = [(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (1, 2, 1.0, 1.0, 11.0, 11.0, 0.8), (1, 3, 20.0, 20.0, 30.0, 30.0, 0.7), (2, 4, 5.0, 5.0, 15.0, 15.0, 0.95), (2, 5, 5.0, 10.0, 15.0, 20.0, 0.6)]
@@ -179,7 +180,7 @@ def diffusion_schedule(spark, d):
     return dec.diffusion_schedule(spark).select("t", F.round("beta", 6).alias("beta"), F.round("alpha_bar", 6).alias("alpha_bar"), F.round("snr", 4).alias("snr"))
 
 
-@query()
+@query(unrolled.strengths(10))
 def bradley_terry(spark, d):
     o = table(spark, d, "orders")
     from pyspark.sql import Window
