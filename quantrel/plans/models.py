@@ -42,10 +42,10 @@ def lasso_one_feature(spark, d):
     return spark.createDataFrame([(round(float(w[1]), 4), round(float(w[0]), 4))], "slope double, intercept double")
 
 
-@query()
+@query(unrolled.shrinkage(X3, "l_extendedprice", [0.1, 1.0, 10.0, 100.0], 0.5))
 def elastic_net_path(spark, d):
     m = lin.gram(table(spark, d, "lineitem"), X3, "l_extendedprice")
-    rows = [(float(a), *map(float, c)) for a, c in lin.path(m, [0.1, 1.0, 10.0, 100.0], 0.5)]
+    rows = [(float(a), *(round(float(w), 6) + 0.0 for w in c)) for a, c in lin.path(m, [0.1, 1.0, 10.0, 100.0], 0.5)]
     return spark.createDataFrame(rows, "alpha double, intercept double, quantity double, discount double, tax double")
 
 
