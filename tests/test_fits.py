@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from quantrel.operators import clustering as cl
+from quantrel.operators import metrics, ordered
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -72,6 +74,32 @@ def test_mixture(spark, four):
     assert got[0]["bic"] == pytest.approx(-2 * z.sum() + 17 * math.log(n), abs=1e-4)
 
 
+def test_tied_mixture(spark):
+    """Two clouds of one shape: the tied covariance is theirs, and its parameters are counted once."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, [0.5, 1.0], (400, 2)) for c in (-4, 4)])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")
+    r = cl.mixture(df, ["a", "b"], [[-3.0, -3.0], [3.0, 3.0]], rounds=20, kind="tied")
+    (_, m, c), (_, _, c2) = r["model"]
+    own = sum(np.cov(p.T, bias=True) for p in (x[:400], x[400:])) / 2
+    assert (c == c2).all() and c == pytest.approx(own, abs=1e-3) and m == pytest.approx(x[:400].mean(0), abs=1e-3)
+    assert r["bic"] == pytest.approx(-2 * r["log_likelihood"] + (1 + 4 + 3) * math.log(800))
+
+
+def test_one_score_of_most_rows(spark):
+    """A score that holds most rows is cut by the tie order; totals and average precision stay those of one sorted list."""
+    rng = np.random.default_rng(5)
+    rows = [(i, 0.5 if i % 10 else float(rng.integers(0, 4)) / 3, int(rng.random() < 0.4)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, score double, y int")
+    assert ordered.dealt(df, "score", ("id",)).where("score = 0.5").select("__bucket", "__sub").distinct().count() > 1
+    listed = sorted(rows, key=lambda r: (-r[1], r[0]))
+    hits = np.cumsum([r[2] for r in listed])
+    want = np.mean([hits[i] / (i + 1) for i, r in enumerate(listed) if r[2]])
+    assert metrics.average_precision(df, "y", "score", ("id",)).first()[0] == pytest.approx(want, abs=1e-9)
+    places = {r["id"]: r["rn"] for r in ordered.numbered(df, "score", ties=("id",)).collect()}
+    assert places == {r[0]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+
+
 def test_policy_iteration(spark):
     """On the 4 x 4 grid the best value is the discounted way to the goal, and each action leads one step nearer."""
     far = lambda s: (3 - s // 4) + (3 - s % 4)
