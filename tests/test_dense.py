@@ -51,3 +51,28 @@ def test_online_softmax_shuffles_no_scores(spark):
 
     plan = operators(vectors.online_softmax_attention(spark, "/root/testdata/sf0.001"))
     assert "FlatMapGroupsInArrow" in plan and "<= q#" not in plan and "iv#" not in plan
+
+
+def test_shortlists_hold_the_best_by_either_score(points, sizes):
+    x, rows = points
+    got = [(r["q"], r["i"], r["cheap"], r["exact"]) for r in dense.shortlists(rows.where("id % 3 = 0"), rows, "id", "v", 2, 5).collect()]
+    assert len({g[:2] for g in got}) == len(got)
+    for c, n in ((2, 2), (3, 6)):
+        for q in range(0, 90, 3):
+            s = [sum((x[q, j] * x[i, j] for j in range(n)), 0.0) for i in range(90)]
+            want = sorted((-s[i], i) for i in range(90) if i != q)[:5]
+            assert sorted((-g[c], g[1]) for g in got if g[0] == q)[:5] == want
+
+
+def test_retrieve_rerank_joins_no_pairs(spark):
+    """Every query met every row in a nested loop, and both rankings ran over all pairs."""
+    from quantrel.operators import retrieval
+    from quantrel.plans import retrieval as plans
+
+    seen, real = [], retrieval.retrieve_then_rerank
+    plans.rt.retrieve_then_rerank = lambda s, *a: seen.append(s) or real(s, *a)
+    try:
+        plans.retrieve_rerank(spark, "/root/testdata/sf0.001")
+    finally:
+        plans.rt.retrieve_then_rerank = real
+    assert seen[0].count() <= 25 * 40 < 25 * 499
