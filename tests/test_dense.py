@@ -76,3 +76,31 @@ def test_retrieve_rerank_joins_no_pairs(spark):
     finally:
         plans.rt.retrieve_then_rerank = real
     assert seen[0].count() <= 25 * 40 < 25 * 499
+
+
+def brute(x, score):
+    return {(q, i): tuple(round(float(t), 6) + 0.0 for t in score(x[q], x[i])) for q in range(len(x)) for i in range(len(x))}
+
+
+def test_kernels_of_all_pairs(points, sizes):
+    x, rows = points
+    names = ["linear", "poly", "rbf", "laplacian", "sigmoid"]
+    got = {(r["q"], r["i"]): tuple(r[n] for n in names) for r in dense.pair_scores(rows, rows, "id", "v", dense.kernels, names, 6, same=True).collect()}
+    want = brute(x, lambda a, b: (a @ b, (0.5 * a @ b + 1) ** 3, np.exp(-0.5 * ((a - b) ** 2).sum()), np.exp(-0.5 * np.abs(a - b).sum()), np.tanh(0.5 * a @ b + 1)))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-6) for k in want)
+
+
+@pytest.mark.parametrize("name", ["kernel_matrix"])
+def test_pairs_come_from_tiles(spark, name):
+    """Vectors of both sides were joined and went through array lambdas, pair by pair."""
+    from quantrel.plans import vectors
+
+    plan = operators(getattr(vectors, name)(spark, "/root/testdata/sf0.001"))
+    assert "FlatMapGroupsInArrow" in plan and "iv#" not in plan and "zip_with" not in plan
+
+
+def test_rounding_and_null_pairs(spark, sizes):
+    assert list(dense.rounded(np.array([0.5, 1.5, -0.5, -0.2, np.inf, 0.49999999999999994]), 0)) == [1, 2, -1, 0, np.inf, 0]
+    rows = spark.createDataFrame([(0, None), (1, [1.0, 2.0]), (None, [0.5, 1.0])], "id long, v array<double>")
+    got = {(r["q"], r["i"]): r["s"] for r in dense.pair_scores(rows.where("id >= 0"), rows, "id", "v", lambda x, y: [dense.dots(x, y)], ["s"], 6, same=True).collect()}
+    assert got == {(0, 0): None, (0, 1): None, (0, None): None, (1, 0): None, (1, 1): 5.0, (1, None): 2.5}
