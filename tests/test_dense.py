@@ -90,7 +90,7 @@ def test_kernels_of_all_pairs(points, sizes):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-6) for k in want)
 
 
-@pytest.mark.parametrize("name", ["kernel_matrix"])
+@pytest.mark.parametrize("name", ["kernel_matrix", "pairwise_metrics"])
 def test_pairs_come_from_tiles(spark, name):
     """Vectors of both sides were joined and went through array lambdas, pair by pair."""
     from quantrel.plans import vectors
@@ -104,3 +104,13 @@ def test_rounding_and_null_pairs(spark, sizes):
     rows = spark.createDataFrame([(0, None), (1, [1.0, 2.0]), (None, [0.5, 1.0])], "id long, v array<double>")
     got = {(r["q"], r["i"]): r["s"] for r in dense.pair_scores(rows.where("id >= 0"), rows, "id", "v", lambda x, y: [dense.dots(x, y)], ["s"], 6, same=True).collect()}
     assert got == {(0, 0): None, (0, 1): None, (0, None): None, (1, 0): None, (1, 1): 5.0, (1, None): 2.5}
+
+
+def test_distances_of_all_pairs(points, sizes):
+    x, rows = points
+    names = ["euclidean", "manhattan", "chebyshev", "minkowski", "cosine", "hamming"]
+    got = {(r["q"], r["i"]): tuple(r[n] for n in names) for r in dense.pair_scores(rows, rows, "id", "v", dense.distances, names, 6).collect()}
+    gap = lambda a, b: np.abs(a - b)
+    want = brute(x, lambda a, b: (np.sqrt((gap(a, b) ** 2).sum()), gap(a, b).sum(), gap(a, b).max(), (gap(a, b) ** 3).sum() ** (1 / 3), 1 - a @ b / np.sqrt(a @ a * (b @ b)), (gap(a, b) > 0).mean()))
+    want = {k: w for k, w in want.items() if k[0] != k[1]}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-6) for k in want)
