@@ -90,7 +90,7 @@ def test_kernels_of_all_pairs(points, sizes):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-6) for k in want)
 
 
-@pytest.mark.parametrize("name", ["kernel_matrix", "pairwise_metrics"])
+@pytest.mark.parametrize("name", ["kernel_matrix", "pairwise_metrics", "causal_attention_weights"])
 def test_pairs_come_from_tiles(spark, name):
     """Vectors of both sides were joined and went through array lambdas, pair by pair."""
     from quantrel.plans import vectors
@@ -114,3 +114,12 @@ def test_distances_of_all_pairs(points, sizes):
     want = brute(x, lambda a, b: (np.sqrt((gap(a, b) ** 2).sum()), gap(a, b).sum(), gap(a, b).max(), (gap(a, b) ** 3).sum() ** (1 / 3), 1 - a @ b / np.sqrt(a @ a * (b @ b)), (gap(a, b) > 0).mean()))
     want = {k: w for k, w in want.items() if k[0] != k[1]}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-6) for k in want)
+
+
+@pytest.mark.parametrize("causal", [False, True])
+def test_attention_weights(points, sizes, causal):
+    x, rows = points
+    w = weights(x, causal)
+    got = {(r["q"], r["i"]): r["weight"] for r in dense.softmax_weights(rows, rows, "id", "v", 2.0, 8, causal).collect()}
+    want = {(q, i): float(t) for (q, i), t in np.ndenumerate(w) if i <= q or not causal}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-8) for k in want)
