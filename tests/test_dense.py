@@ -90,7 +90,7 @@ def test_kernels_of_all_pairs(points, sizes):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-6) for k in want)
 
 
-@pytest.mark.parametrize("name", ["kernel_matrix", "pairwise_metrics", "causal_attention_weights"])
+@pytest.mark.parametrize("name", ["kernel_matrix", "pairwise_metrics", "causal_attention_weights", "attention_weights"])
 def test_pairs_come_from_tiles(spark, name):
     """Vectors of both sides were joined and went through array lambdas, pair by pair."""
     from quantrel.plans import vectors
