@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 from quantrel import functions as fn
 
+from .storage import cut
+
+#: Standard deviations around a permutation's expected cut within which rows are ranked; beyond, they are only counted.
+DEVIATIONS = 6
+
 
 def beta_inc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta by the continued fraction of Lentz."""
@@ -103,15 +108,27 @@ def two_sided(t: float, df: float) -> float:
 def permutation_test(df: DataFrame, x: str, in_a: Column, key: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """p of |mean_a - mean_b| over `rounds` relabellings that keep the groups' sizes: in each round the rows of the smallest hashes of (round, key) are group a.
 
-    The cut of a round is its n_a-th smallest hash, found exactly by a percentile of the round's hashes; no round is sorted in one task.
+    Hashes are uniform, so the n_a-th smallest lies within some deviations of n_a / n: rows beyond are only counted and summed by round, rows
+    within are ranked by (hash, key, value). If the cut of any round should lie outside, all rows are ranked.
     """
-    rows = df.select(F.col(x).cast("double").alias("v"), in_a.cast("int").alias("a"), F.col(key).alias("k"))
+    rows = df.select(F.col(x).cast("double").alias("v"), in_a.cast("int").alias("a"), F.col(key).alias("k")).where("a is not null")
     seen = rows.agg(F.avg(F.when(F.col("a") == 1, F.col("v"))).alias("ma"), F.avg(F.when(F.col("a") == 0, F.col("v"))).alias("mb"), F.sum("a").alias("na"), F.count("a").alias("n")).first()
     if not seen["na"] or seen["na"] == seen["n"]:
         return df.sparkSession.createDataFrame([(None, None)], "p double, observed double")
-    dealt = rows.select("v", "k", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", fn.hashed_uniform(F.lit(seed), F.col("round"), F.col("k")))
-    cuts = dealt.groupBy("round").agg(F.percentile("u", F.lit((seen["na"] - 0.5) / (seen["n"] - 1))).alias("cut"))
-    gaps = dealt.join(F.broadcast(cuts), "round").groupBy("round").agg((F.avg(F.when(F.col("u") < F.col("cut"), F.col("v"))) - F.avg(F.when(F.col("u") >= F.col("cut"), F.col("v")))).alias("gap"))
+    share, n = seen["na"] / seen["n"], seen["n"]
+    spread = rows.select("v", "k").repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "k")  # a row is `rounds` hashes of work
+    dealt = spread.select("v", "k", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", fn.hashed_uniform(F.lit(seed), F.col("round"), F.col("k")))
+    for width in (DEVIATIONS * math.sqrt(share * (1 - share) / n) + 1 / n, 1.0):
+        near = F.col("u").between(share - width, share + width)
+        place = F.when(near, F.col("u")).when(F.col("u") < share, F.lit(-1.0)).otherwise(F.lit(2.0))
+        sums = cut(dealt.groupBy("round", place.alias("u"), F.when(near, F.col("k")).alias("k"), F.when(near, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count(dealt["v"]).alias("c"), F.sum(dealt["v"]).alias("s")))
+        sides = sums.groupBy("round").agg(F.sum(F.when(F.col("u") < 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("u") > 1, F.col("n")).otherwise(0)).alias("high"))
+        if sides.where((F.col("low") > seen["na"]) | (F.col("high") > n - seen["na"])).isEmpty():
+            break
+    before = F.sum("n").over(Window.partitionBy("round").orderBy("u", "k", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = sums.withColumn("inside", F.greatest(F.least(F.lit(seen["na"]) - (before - F.col("n")), F.col("n")), F.lit(0)) / F.col("n"))  # a part of a row that occurs often
+    mean = lambda part: fn.ratio(F.sum(F.col("s") * part), F.sum(F.col("c") * part))
+    gaps = ranked.groupBy("round").agg((mean(F.col("inside")) - mean(1 - F.col("inside"))).alias("gap"))
     observed = seen["ma"] - seen["mb"]
     return gaps.agg(((F.count_if(F.abs("gap") >= F.lit(abs(observed))) + 1) / (F.count("gap") + 1)).alias("p"), F.lit(observed).alias("observed"))
 

@@ -1,5 +1,6 @@
 """Small dense kernels and operators over any estimator against numpy and brute force."""
 
+import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,19 @@ def test_precision_by_stage(spark):
     assert {(r["i"], r["r1"], r["r2"]) for r in found.collect()} == {(0, 1, 4), (1, 2, 3), (2, 3, 2), (3, 4, 1)}
     got = retrieval.precision_at(found, spark.createDataFrame([(0, 3)], "q long, i long"), [1, 2])
     assert [tuple(r) for r in got.orderBy("k").collect()] == [(1, 0.0, 1.0), (2, 0.0, 0.5)]
+
+
+@pytest.mark.parametrize("deviations", [6, 0])
+def test_permutations_against_sorting(spark, monkeypatch, deviations):
+    """Group sizes hold where keys repeat, which a cut at a hash could not split, and where the cut lies outside of what is ranked at first."""
+    monkeypatch.setattr(statistics, "DEVIATIONS", deviations)
+    rows = [(i // 3, float(i * 7919 % 101), i % 4 == 0) for i in range(60)]
+    u = lambda r, k: int(hashlib.md5(f"0:{r}:{k}".encode()).hexdigest()[:12], 16) / 2**48
+    gap = lambda a, b: sum(a) / len(a) - sum(b) / len(b)
+    observed, n = gap([v for _, v, a in rows if a], [v for _, v, a in rows if not a]), sum(a for *_, a in rows)
+    each = [[v for *_, v in sorted((u(r, k), k, v) for k, v, _ in rows)] for r in range(1, 41)]
+    want = (sum(abs(gap(s[:n], s[n:])) >= abs(observed) for s in each) + 1) / 41
+    got = statistics.permutation_test(spark.createDataFrame(rows, "k long, v double, a boolean"), "v", F.col("a"), "k", rounds=40).first()
+    assert (got["p"], round(got["observed"], 9)) == (want, round(observed, 9))
+    one = spark.createDataFrame([(1, 0.0, False), (1, 0.0, False), (1, 0.0, False), (1, 3.0, True)], "k long, v double, a boolean")
+    assert statistics.permutation_test(one, "v", F.col("a"), "k", rounds=5).first()["p"] == pytest.approx(1 / 6)
