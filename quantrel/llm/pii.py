@@ -5,9 +5,9 @@ field adds what no pattern has: local phone numbers, identity numbers, addresses
 streets. It tags words by shape, digits, neighbours and cue words, and what it tags is a span; no pattern overrules it. It is trained on the driver
 from labelled_lines(), some hundred short lines that a seeded rule makes from TEMPLATES, and is broadcast with each query.
 
-Personal data stands by a mark: a digit, an at sign or a cue word (token, password, Mr, street and the like). The words from two before a
-mark to five after it, joined where such stretches meet, are decoded as one chain, its ends bordering on the outside tag; words further off have the outside
-tag. Chains of equal length, from all texts of an Arrow batch, go through Viterbi together in numpy.
+Every word of a text is scored, and the text is one chain whose ends border on the outside tag. The outside tag is certain for a word where it
+beats each other tag by more than any two neighbours' transitions could make up for; such words part the chain without changing the best tags, and
+what lies between them goes through Viterbi, stretches of equal length together in numpy.
 
 Defined cases: a null or empty text has no spans. Texts of any length are read whole, and the patterns are written so that they
 take time in proportion to the text. Repeated rows are judged alike, whatever their ids; null ids stay null. An empty table gives an empty
@@ -21,6 +21,7 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -41,13 +42,15 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
-#: Words beside which personal data stands.
+#: Words beside which personal data often stands.
 CUES = (
     "tel telephone phone mobile fax dial call number ssn id identity passport social security tax mail email write contact reach token password passwd pwd pass secret key apikey api_key "
     "access_token bearer credential mr mrs ms dr prof herr frau monsieur madame señor señora name named signed regards sincerely dear street avenue road lane drive straße strasse rue calle via address lives"
 ).split()
+CUE_SET = frozenset(CUES)
 MARK = re.compile(r"[0-9@]|[\[(]at[\])]|(?<![^\W_])(?:" + "|".join(sorted(CUES, key=len, reverse=True)) + r")(?![^\W_])", re.IGNORECASE)
-BEFORE, AFTER, REACH = 2, 5, 200
+#: Words that are scored at once.
+BLOCK = 65_536
 WORD = re.compile(r"\S+")
 
 
@@ -153,6 +156,16 @@ id {w} {w}. {W} {w} {w}
 st. {W} {w} {w} {w}
 rue {w} {w} {w}
 write {w} {w} {W} {w} {w}
+{w} {w}. {W}. {W} {w} {w}
+{W}. {W}. {W}. {W}. {W}.
+{W} {W} {W} {W} {W} {w}
+{w}. {W} {w}. {W} {w}. {W}. {W} {w}
+{w} {W} {W} {W}, {W} {n} {w}
+{w} {w} {W} {W}, {W} {n}.
+{w} {W} {n}. {W} {w}
+{W} {n}. {n} {W}. {w}
+{w} {W}. {W} {W}. {w} {w} {W}, {W} {w}
+{W}. {n}. {W} {W} {w} {W}
 """
 #: Parts of names and streets.
 FIRST = "Anna John Maria Peter Laura James Sofia Thomas Julia Robert Elena Michael Clara David Nina Paul Emma Lukas Ines Carlos".split()
@@ -230,7 +243,7 @@ def word_features(word: str) -> tuple[str, ...]:
 def cue(word: str) -> str:
     """The cue word that this is, else nothing."""
     core = word.strip(".,;:!?'\"=()").lower()[:16]
-    return core if core in CUES else "=" if word == "=" else ""
+    return core if core in CUE_SET else "=" if word == "=" else ""
 
 
 def kind_of(word: str) -> str:
@@ -248,45 +261,125 @@ def run_features(words: list[str]) -> list[tuple[str, ...]]:
 
 
 def runs_of(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Chains: the words around marks, as places, joined where they meet. A word of any length is taken whole; before a mark REACH characters are looked at."""
-    run: list[tuple[int, int]] = []
-    at = MARK.search(text)
-    while at:
-        start = at.start()
-        while start and not text[start - 1].isspace():
-            start -= 1
-        low = max(0, start - REACH, run[-1][1] if run else 0)
-        ahead = [m.span() for m in WORD.finditer(text, low, start)]
-        if ahead and ahead[0][0] == low and low and not text[low - 1].isspace():
-            ahead = ahead[1:]
-        if run and len(ahead) > BEFORE:
-            yield run
-            run = []
-        run += ahead[-BEFORE:]
-        spot = start
-        for turn in range(AFTER + 1):
-            m = WORD.search(text, spot)
-            if not m or turn and m.start() - spot > REACH:
-                break
-            run.append(m.span())
-            spot = m.end()
-            if turn and MARK.search(text, *m.span()):
-                break
-        last = run[-1]
-        again = MARK.search(text, *last) if last[0] > start else None
-        at = MARK.search(text, last[0] if again else last[1])
-        if again:
-            run.pop()
+    """The chain of a text: the places of all its words."""
+    run = [m.span() for m in WORD.finditer(text)]
     if run:
         yield run
 
 
+ALIKE = str.maketrans({**dict.fromkeys("abcdefghijklmnopqrstuvwxyz", "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "9")})
+KINDS_OF_WORDS, CUE_WORDS = ("a", "A", "9"), ("", "=", *sorted(set(CUES)))
+CUE_INDEX = {c: i for i, c in enumerate(CUE_WORDS)}
+
+
+class WordScores:
+    """Scores of whole texts by tables: what run_features gives depends on the word, on either neighbour and on their kinds and cues.
+
+    Words that differ only in their letters or digits have equal features and share a row, but for cue words and (at).
+    """
+
+    def __init__(self, features: dict[str, int], emit: np.ndarray):
+        none = np.zeros(emit.shape[1])
+        self.of = lambda *fs: sum((emit[features[f]] for f in fs if f in features), none)
+        table = lambda form, *axes: np.array([self.of(form(*x)) for x in product(*axes)]).reshape(*map(len, axes), -1)
+        self.around = table(lambda a, b, c: f"around={a}{b}{c}", *[KINDS_OF_WORDS] * 3)
+        self.cue2 = table(lambda a, b: f"cue2={a},{b}", CUE_WORDS, CUE_WORDS)
+        self.cuekind = table(lambda c, k: f"cuekind={c},{k}", CUE_WORDS, KINDS_OF_WORDS)
+        self.cue_next = table(lambda c, k: f"cue_next={c},{k}", CUE_WORDS, KINDS_OF_WORDS)
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.rows = {}, {}
+        self.own, self.before, self.after, self.kind, self.cue = [], [], [], [], []
+        self.packed = None
+        self.row("")
+
+    def row(self, word: str) -> int:
+        own = cue(word)
+        like = word if own or "(at)" in word or "[at]" in word else word.translate(ALIKE)
+        found = self.rows.get(like)
+        if found is None:
+            found = self.rows[like] = len(self.rows)
+            self.own.append(self.of(*word_features(like)))
+            self.before.append(self.of(f"prev={shape(like.strip(EDGES))}", f"cue={own}", f"last_stop={like[-1:] in '.!?' and like[-1:] != ''}"))
+            self.after.append(self.of(f"next={shape(like.strip(EDGES))}"))
+            self.kind.append(KINDS_OF_WORDS.index(kind_of(like)))
+            self.cue.append(CUE_INDEX[own])
+        if len(word) <= 64:
+            self.words[word] = found
+        return found
+
+    def ids(self, text: str) -> list[int]:
+        get, row = self.words.get, self.row
+        return [get(w) or row(w) for w in text.split()]
+
+    def scores(self, ids: np.ndarray, start: int, end: int) -> np.ndarray:
+        """Of the words at start to end (without it); ids has two empty words before and one after those."""
+        if self.packed is None or len(self.packed[0]) < len(self.rows):
+            self.packed = [np.array(x) for x in (self.own, self.before, self.after, self.kind, self.cue)]
+        own, before, after, kind, cues = self.packed
+        word, last, earlier, later = ids[start:end], ids[start - 1 : end - 1], ids[start - 2 : end - 2], ids[start + 1 : end + 1]
+        k, c = kind[word], cues[last]
+        out = own[word] + before[last]
+        out += after[later]
+        out += self.around[kind[last], k, kind[later]]
+        out += self.cue2[cues[earlier], c]
+        out += self.cuekind[np.where(c > 0, c, cues[earlier]), k]
+        out += self.cue_next[cues[later], k]
+        return out
+
+
 class ChainField:
     """Emission weights by feature, transition weights by tag pair; the outside borders each run."""
 
     def __init__(self, features: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.features, self.emit, self.move = features, emit, move
         self.known: dict[tuple[str, ...], np.ndarray] = {}
+        self.tables: WordScores | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}, "tables": None}
+
+    def tag(self, texts: list[str]) -> list[np.ndarray]:
+        """The best tags of all words of every text."""
+        if self.tables is None:
+            self.tables = WordScores(self.features, self.emit)
+        elif len(self.tables.words) > 400_000 or len(self.tables.rows) > 50_000:
+            self.tables.forget()
+        flat, ends = [0, 0], []
+        for t in texts:
+            flat += self.tables.ids(t)
+            ends.append(len(flat))
+            flat += [0, 0]
+        ids = np.array(flat)
+        tags = self.tag_words(ids)
+        starts = [2, *(e + 2 for e in ends[:-1])]
+        return [tags[s:e] for s, e in zip(starts, ends, strict=True)]
+
+    def tag_words(self, ids: np.ndarray) -> np.ndarray:
+        """Tags by place; texts are parted by two empty words (0). A stretch of words in doubt that a block would cut goes to the next block."""
+        gain = (self.move - self.move[:, :1]).max(0) + (self.move - self.move[:1]).max(1)
+        tags, at, size = np.zeros(len(ids), np.int16), 2, BLOCK
+        while at < len(ids) - 1:
+            end = min(at + size, len(ids) - 1)
+            s = self.tables.scores(ids, at, end)
+            doubt = ((s - s[:, :1] + gain)[:, 1:] >= 0).any(1) & (ids[at:end] != 0)
+            if end < len(ids) - 1 and doubt[-1]:
+                sure = np.flatnonzero(~doubt)
+                if not len(sure):
+                    size *= 2
+                    continue
+                end = at + int(sure[-1]) + 1
+                doubt = doubt[: end - at]
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], doubt.astype(np.int8), [0]])))
+            first, lengths = edges[::2], edges[1::2] - edges[::2]
+            for n in np.unique(lengths):
+                those, step = first[lengths == n], max(1, 20_000 // int(n))
+                for i in range(0, len(those), step):
+                    places = those[i : i + step, None] + np.arange(n)
+                    tags[at + places] = self.viterbi(s[places])
+            at, size = end, BLOCK
+        return tags
 
     def emissions(self, features: tuple[str, ...]) -> np.ndarray:
         found = self.known.get(features)
@@ -404,17 +497,19 @@ def tagged_spans(text: str, places: list[tuple[int, int]], tags: np.ndarray) ->
 
 def all_spans(texts: list[str], field: ChainField) -> list[list[tuple[str, int, int]]]:
     """Base spans of each text and those that the field adds clear of them, by kind and start."""
-    out, runs, where = [], [], []
-    for i, text in enumerate(texts):
-        marked = bool(text and MARK.search(text))
-        out.append(base_spans(text) if marked else [])
-        for places in runs_of(text) if marked else ():
-            runs.append(run_features([text[s:e] for s, e in places]))
-            where.append((i, places))
-    for (i, places), tags in zip(where, field.decode(runs), strict=True):
-        if tags.any():
-            base = [x for x in out[i] if x[0] in BASE_KINDS and x[1] < places[-1][1] and places[0][0] < x[2]]
-            out[i] += [x for x in tagged_spans(texts[i], places, tags) if not any(b[1] < x[2] and x[1] < b[2] for b in base)]
+    out, i = [base_spans(t) if t and MARK.search(t) else [] for t in texts], 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and size < 8 * BLOCK:
+            size, j = size + len(texts[j]), j + 1
+        for k, tags in enumerate(field.tag(texts[i:j]), i):
+            if tags.any():
+                places, marked = next(runs_of(texts[k])), np.concatenate([[0], tags > 0, [0]]).astype(np.int8)
+                edges, base = np.flatnonzero(np.diff(marked)), list(out[k])
+                for s, e in zip(edges[::2], edges[1::2], strict=True):
+                    own = [b for b in base if b[1] < places[e - 1][1] and places[s][0] < b[2]]
+                    out[k] += [x for x in tagged_spans(texts[k], places[s:e], tags[s:e]) if not any(b[1] < x[2] and x[1] < b[2] for b in own)]
+        i = j
     rank = {k: n for n, k in enumerate(KINDS)}
     return [sorted(spans, key=lambda x: (rank[x[0]], x[1])) for spans in out]
 

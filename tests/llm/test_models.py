@@ -513,3 +513,20 @@ def test_weights_move_rows_into_changed_subtrees_only(spark):
     assert sharding.assign(df.limit(0), "k", even).collect() == []
     gone = sharding.assign(df, "k", [0.0, *even[1:]], "c")
     assert gone.where("c = 0").count() == 0
+
+
+def test_chain_field_reads_every_word(monkeypatch):
+    """The tables give the features' scores, certain words part a chain without changing its tags, and no word is left out for want of a mark near it."""
+    field, far = pii.trained(), "plain words of a text that has no sign or number in it " * 3
+    texts = [t for t, _ in pii.labelled_lines(9, 1)] + ["", far, f"{far}deadBEEFcafeDEADbeefCAFEdeadBEEFcafe {far}", " ".join(t for t, _ in pii.labelled_lines(11, 1))]
+    for block in (3, 65_536):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        for text, tags in zip(texts, field.tag(texts), strict=True):
+            words = text.split()
+            assert len(tags) == len(words)
+            if words:
+                scores = np.array([field.emissions(f) for f in pii.run_features(words)])
+                ids = np.array([0, 0, *field.tables.ids(text), 0, 0])
+                assert np.allclose(field.tables.scores(ids, 2, len(ids) - 2), scores)
+                assert tags.tolist() == field.viterbi(scores[None])[0].tolist()
+    assert [len(r) for r in pii.runs_of(far)] == [len(far.split())]
