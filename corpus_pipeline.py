@@ -20,7 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document, that of the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more.
+    SimHash fingerprints by pivots, and minimum hashes for what lies beyond their radius, find the candidates."""
     return near_copies.keep_one(docs)
 
 

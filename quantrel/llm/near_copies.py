@@ -1,10 +1,11 @@
-"""Near copies by word shingles: minimum hashes find the candidates, exact similarity decides.
+"""Near copies by word shingles: SimHash and minimum hashes find the candidates, exact similarity decides.
 
 A text's set is the XXH64 (seed 42) of its distinct SHINGLE-word shingles (a text of fewer words is one shingle). Texts with a
-similarity (shared over all shingles) of SIMILARITY or more are linked. Candidates share one of BANDS keys, each of ROWS minimum hashes: two
+similarity (shared over all shingles) of SIMILARITY or more are linked. Candidates are the members of a SimHash component: the sets' fingerprints
+go through op10's distance tables to pivots and its components. What lies beyond its radius shares one of BANDS keys, each of ROWS minimum hashes: two
 texts of similarity s share none with a chance of (1 - s**4)**32, 5e-8 at 0.8. Every candidate pair is then compared by its whole sets.
 
-A cell (equal key) of over CELL sets is not paired at once: its members are compared with the smallest and with the next, and pairs of
+A cell (a SimHash component, or an equal key) of over CELL sets is not paired at once: its members are compared with the smallest and with the next, and pairs of
 the cell that the components found so far leave apart are compared afterwards, so nothing is left out. Equal sets are one vertex and are never paired.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, one_of_each, reserve
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import link_table, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, CELL = 32, 4, 48
@@ -41,11 +42,19 @@ def least_hashes(own: np.ndarray) -> np.ndarray:
     return (least.reshape(BANDS, ROWS) * MULTIPLIERS[:ROWS, 0]).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def band_keys(sets: Column) -> Column:
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """SimHash of a set: a bit is set where over half of the hashes have it set."""
+    bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(own), bitorder="little").view(np.int64)
+
+
+def sketches(sets: Column) -> Column:
+    """The fingerprint of each set, then its band keys."""
+
     @F.pandas_udf("array<long>")
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([least_hashes(np.asarray(x, np.int64)) for x in batch])
+            yield pd.Series([np.concatenate([fingerprint(h), least_hashes(h)]) for h in (np.array(x, np.int64) for x in batch)])
 
     return keys(F.transform(sets, lambda h: F.coalesce(h, F.lit(0).cast("long"))))
 
@@ -64,11 +73,15 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", size:
     Of rows that repeat both, that of the smallest hash of all its columns stays.
     """
     rows = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).withColumn("th", F.xxhash64("t"))
-    hashed = rows.select("id", "th", shingle_set(F.col("t"), size).alias("s")).select("id", "th", F.xxhash64(F.array_sort("s")).alias("node"), band_keys(F.col("s")).alias("keys"))
+    hashed = rows.select("id", "th", shingle_set(F.col("t"), size).alias("s")).select("id", "th", F.xxhash64(F.array_sort("s")).alias("node"), sketches(F.col("s")).alias("k")).select("id", "th", "node", F.col("k")[0].alias("fp"), F.slice("k", 2, BANDS).alias("keys"))
     own = materialise(hashed, "near-keys")
     nodes = own.groupBy("node").agg(F.min("th").alias("th"))
     placed = own.select("node", F.posexplode("keys").alias("band", "key")).distinct()
-    members = materialise(placed.groupBy("band", "key").agg(F.array_sort(F.collect_list("node")).alias("m")).where(F.size("m") > 1).select("m").distinct(), "near-cells")
+    prints = materialise(own.select("node", "fp").distinct(), "near-prints")
+    met = materialise(components(link_table(prints.select("fp").distinct())), "near-simhash").withColumnRenamed("v", "fp")
+    alike = prints.join(met, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.array_sort(F.collect_list("node")).alias("m"))
+    shared = placed.groupBy("band", "key").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    members = materialise(alike.select("m").union(shared.select("m")).where(F.size("m") > 1).distinct(), "near-cells")
     light, heavy = members.where(F.size("m") <= CELL), members.where(F.size("m") > CELL)
     pairs = light.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
     first = heavy.select(F.col("m")[0].alias("a"), F.explode("m").alias("b"))

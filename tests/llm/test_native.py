@@ -211,3 +211,17 @@ def test_cascade_order_changes_no_verdict(spark):
     steps = quality_rules.plan(df, "text", quality_rules.CASCADE)
     gain = [s["rejection"] / s["cost"] for s in steps]
     assert gain == sorted(gain, reverse=True)
+
+
+def test_near_copies_go_through_simhash(spark, monkeypatch):
+    """The stage's candidates come from SimHash fingerprints and pivots too; minimum hashes alone stood in for them."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(3)]
+    texts += [texts[0] + " end", "", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, real = [], near_copies.link_table
+    monkeypatch.setattr(near_copies, "link_table", lambda prints: met.append((prints, real(prints))) or met[-1][1])
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == {0, 1, 2, 4, 5}
+    want = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(df, ["doc_id"], "text", near_copies.SHINGLE).collect()}
+    assert {r["fp"] for r in met[0][0].collect()} == set(want.values())
+    near = {tuple(sorted((want[a], want[b]))) for a in want for b in want if want[a] != want[b] and bin((want[a] ^ want[b]) & (1 << 64) - 1).count("1") <= 2}
+    assert {tuple(sorted((r["a"], r["b"]))) for r in met[0][1].collect()} == near
