@@ -123,3 +123,12 @@ def test_attention_weights(points, sizes, causal):
     got = {(r["q"], r["i"]): r["weight"] for r in dense.softmax_weights(rows, rows, "id", "v", 2.0, 8, causal).collect()}
     want = {(q, i): float(t) for (q, i), t in np.ndenumerate(w) if i <= q or not causal}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1.1e-8) for k in want)
+
+
+@pytest.mark.parametrize("queries, rows", [(5_129, 102_564), (102_564, 102_564), (1_000_000, 1_000_000), (40, 5_000_000)])
+def test_pieces_bound_the_copies(queries, rows):
+    """Each of 5,129 queries was shuffled 101 times to meet 102,564 rows."""
+    nq, nr = dense.pieces(queries, rows)
+    assert queries <= nq * dense.WIDEST and rows <= nr * dense.WIDEST * 2
+    assert (queries * nr + rows * nq) / (queries + rows) <= max(8, 2 * max(queries, rows) / dense.WIDEST)
+    assert nq * nr >= 48 or queries < 4096
