@@ -132,3 +132,15 @@ def test_pieces_bound_the_copies(queries, rows):
     assert queries <= nq * dense.WIDEST and rows <= nr * dense.WIDEST * 2
     assert (queries * nr + rows * nq) / (queries + rows) <= max(8, 2 * max(queries, rows) / dense.WIDEST)
     assert nq * nr >= 48 or queries < 4096
+
+
+def test_online_softmax_attention_answers_every_row(spark):
+    """Only rows whose id is divisible by 20 were answered."""
+    from quantrel.plans import vectors
+
+    rows = vectors.vectors(spark, "/root/testdata/sf0.001").collect()
+    x = np.array([r["v"] for r in rows])
+    s = np.exp(x @ x.T / 8)
+    want = s @ x / s.sum(1)[:, None]
+    got = {(r["q"], r["p"]): r["x"] for r in vectors.online_softmax_attention(spark, "/root/testdata/sf0.001").collect()}
+    assert got == pytest.approx({(r["vec_id"], p): want[k, p] for k, r in enumerate(rows) for p in range(64)}, abs=1.1e-6)
