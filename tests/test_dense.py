@@ -144,3 +144,35 @@ def test_online_softmax_attention_answers_every_row(spark):
     want = s @ x / s.sum(1)[:, None]
     got = {(r["q"], r["p"]): r["x"] for r in vectors.online_softmax_attention(spark, "/root/testdata/sf0.001").collect()}
     assert got == pytest.approx({(r["vec_id"], p): want[k, p] for k, r in enumerate(rows) for p in range(64)}, abs=1.1e-6)
+
+
+def test_best_of_ties_and_nulls():
+    """Equal vectors, far more than k, go by id; pairs with a null vector come last."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (700, 7))
+    x[100:600] = x[100]
+    whole = np.arange(700) % 50 != 3
+    x[~whole] = np.nan
+    s = dense.Side(pa.array(np.arange(700)), x, whole, [])
+    for k, n in ((5, 700), (20, 700), (20, 18)):
+        rows = s.part(slice(0, n))
+        got = np.divmod(dense.best(s.part(slice(0, 200)), rows, 7, k), n)
+        exact = dense.dots(x[:200], x[:n])
+        want = [(q, i) for q in range(200) for i in sorted((i for i in range(n) if i != q), key=lambda i: (not (whole[q] and whole[i]), -exact[q, i] if whole[q] and whole[i] else 0, i))[:k]]
+        assert list(zip(*got, strict=True)) == want
+
+
+def test_retrieve_rerank_asks_every_row(spark):
+    """Only rows whose id is divisible by 20 were queries."""
+    from quantrel.operators import retrieval
+    from quantrel.plans import retrieval as plans
+
+    seen, real = [], retrieval.retrieve_then_rerank
+    plans.rt.retrieve_then_rerank = lambda s, *a: seen.append(s) or real(s, *a)
+    try:
+        plans.retrieve_rerank(spark, "/root/testdata/sf0.001")
+    finally:
+        plans.rt.retrieve_then_rerank = real
+    assert seen[0].select("q").distinct().count() == 500 and seen[0].count() <= 500 * 40
