@@ -176,3 +176,16 @@ def test_retrieve_rerank_asks_every_row(spark):
     finally:
         plans.rt.retrieve_then_rerank = real
     assert seen[0].select("q").distinct().count() == 500 and seen[0].count() <= 500 * 40
+
+
+def test_causal_attention_weights_of_every_row(spark):
+    """Only rows whose id is divisible by 20 had weights."""
+    from quantrel.plans import vectors
+
+    rows = vectors.vectors(spark, "/root/testdata/sf0.001").collect()
+    x, ids = np.array([r["v"] for r in rows]), np.array([r["vec_id"] for r in rows])
+    s = np.where(ids <= ids[:, None], np.exp(x @ x.T / 8), 0)
+    want = s / s.sum(1)[:, None]
+    got = {(r["q"], r["i"]): r["weight"] for r in vectors.causal_attention_weights(spark, "/root/testdata/sf0.001").collect()}
+    want = {(int(ids[a]), int(ids[b])): float(w) for (a, b), w in np.ndenumerate(want) if ids[b] <= ids[a]}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1.1e-8
